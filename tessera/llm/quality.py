@@ -21,13 +21,15 @@ THRESHOLD = 0.3
 SHAPE = np.arange(256, dtype=np.uint8)  # A-Z as one class, other letters as one, digits as one, the rest as it is
 SHAPE[65:91], SHAPE[97:123], SHAPE[128:], SHAPE[48:58] = 65, 97, 97, 48
 SHAPE_VALUE = series(256, 9_000_011)
+ECHO = series(8, 31_337)
 
 
 def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slot and row of each n-gram of a chunk, and the words of each row.
 
-    The n-grams are words, and runs of one to three word shapes: the classes of a word's characters, runs as one. A
-    vocabulary is open, the shapes are few, so what a shape says carries over to words that training never saw.
+    The n-grams are words, runs of one to three word shapes (the classes of a word's characters, runs as one), and for
+    three words in a row which of them are the same. A vocabulary is open, shapes and such echoes are few, so what they
+    say carries over to words that training never saw.
     """
     rows = len(offsets) - 1
     starts, ends, row = spans(offsets, data)
@@ -45,6 +47,11 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         value, at = ngrams(form, row, n)
         grams.append(value + np.uint64(n))
         owner.append(row[at])
+    if len(word) > 2:  # which of three words in a row are the same
+        same = (word[1:-1] == word[:-2]) * 1 + (word[2:] == word[1:-1]) * 2 + (word[2:] == word[:-2]) * 4
+        at = np.flatnonzero((row[2:] == row[:-2]) & (same > 0))
+        grams.append(ECHO[same[at]])
+        owner.append(row[at])
     return (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owner), count
 
 

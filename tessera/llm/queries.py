@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_join
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import THRESHOLD, held_out, quality_scores
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,10 +48,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_source_mixing, op4_quality_classifier, op5_line_dedup, op9_decontamination, op10_exact_dedup)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mixing, op4_quality_classifier, op5_line_dedup, op9_decontamination, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+        sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+            ELSE list_transform(range(1, len(t) - 2), lambda i: array_to_string(list_slice(t, i, i + 3), ' ')) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a AS doc_id, b AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(reach) FROM r WHERE r.doc_id = w.doc_id), doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id)
+    """,
     "op3_source_mixing": r"""
         WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         sums AS (SELECT source, sum(size)::BIGINT AS s FROM sized GROUP BY source),
