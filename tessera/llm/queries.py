@@ -11,8 +11,11 @@ from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
 from .line_dedup import line_dedup
+from .lm import lm_scores
 from .mixing import mix_sources
+from .pii import personal_data
 from .quality import THRESHOLD, held_out, quality_scores
+from .token_counts import VOCABULARY, edited_counts, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Counts of every text, and after three edits: in its middle, at its start and at its end."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    at = [((n / 2).cast("int"), 5, " edited"), (F.lit(0), 1, ""), (n, 0, " appended words")]
+    edits = F.array(*[F.struct(a.alias("at"), F.lit(r).alias("removed"), F.lit(i).alias("inserted")) for a, r, i in at])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    counted = edited_counts(token_counts(docs, vocabulary), vocabulary)
+    return counted.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_pieces", "n_encoded")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mixing, op4_quality_classifier, op5_line_dedup, op9_decontamination, op10_exact_dedup)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mixing, op4_quality_classifier, op5_line_dedup, op6_personal_data, op7_lm_scoring, op8_token_counts, op9_decontamination, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
