@@ -14,7 +14,7 @@ from .graph import components
 from .store import materialise, with_columns
 from .textkit import chunks, mix, raw, shingle_sets, word_hashes
 
-GROUPS = 64  # of shingles; their counts are the coordinates of a document's point
+GROUPS = 256  # of shingles; their counts are the coordinates of a document's point
 SKETCH_BITS = 20  # counters of the frequency sketch; its size is fixed
 PART_BITS = 14
 FAN = 32  # children of a tree's node
@@ -78,6 +78,21 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     return np.log2(np.maximum(total.ravel() / max(1.0, total.mean()), 1)).astype(np.uint8)
 
 
+def packed(point: np.ndarray) -> list[bytes]:
+    """One byte a coordinate, or four where a count needs more."""
+    wide = point.max(axis=1, initial=0) > 255
+    narrow = point.astype(np.uint8)
+    return [point[k].astype(np.uint32).tobytes() if wide[k] else narrow[k].tobytes() for k in range(len(point))]
+
+
+def points(column: pa.Array) -> np.ndarray:
+    offsets, data = raw(column)
+    size = np.diff(offsets)
+    if (size == GROUPS).all():
+        return data[offsets[0] : offsets[-1]].reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([data[a:b].astype(np.int32) if b - a == GROUPS else np.frombuffer(data[a:b].tobytes(), np.uint32).astype(np.int32) for a, b in zip(offsets, offsets[1:])])
+
+
 def described(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
     """Per document: size and signature of its set, its point, and the prefix by which it is brought to others."""
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))  # 1 MB, whatever the input
@@ -88,15 +103,15 @@ def described(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
             for lo, hi, value, cut in sets(batch, words):
                 n = np.diff(cut)
                 owner = np.repeat(np.arange(hi - lo), n)
-                group = (mix(value ^ np.uint64(0xC0FFEE)) >> np.uint64(58)).astype(np.int64)
-                point = np.bincount(owner * GROUPS + group, minlength=(hi - lo) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
+                group = (mix(value ^ np.uint64(0xC0FFEE)) % np.uint64(GROUPS)).astype(np.int64)
+                point = np.bincount(owner * GROUPS + group, minlength=(hi - lo) * GROUPS).reshape(-1, GROUPS)
                 order = np.lexsort((value, level[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
                 first = (np.arange(len(value)) - cut[owner]) < ratio.prefix(n)[owner]
                 chosen = value[order][first].astype(np.int64)
                 ends = np.zeros(hi - lo + 1, dtype=np.int32)
                 np.cumsum(np.bincount(owner[first], minlength=hi - lo), out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(signatures(value, cut), pa.binary()), pa.array([x.tobytes() for x in point], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen))],
+                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(signatures(value, cut), pa.binary()), pa.array(packed(point), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen))],
                     ["doc_id", "n", "sig", "point", "prefix"],
                 )
 
@@ -133,35 +148,56 @@ class CountTree:
 
 
 def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, x, y); within one such group the points of side 1 query the tree of side 0, or of themselves."""
-    held: list[tuple] = []
-    now: tuple | None = None
-
-    def solved() -> list[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
-        if len(held) > 1:
-            cid, side, comp, n = (np.array([h[k] for h in held]) for k in range(4))
-            point = np.frombuffer(b"".join(h[4] for h in held), dtype=np.int32).reshape(-1, GROUPS)
-            stored, asks = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.min() != side.max() else (np.arange(len(cid)),) * 2
-            if now[1] != now[2] and side.min() == side.max():
-                return []
+    """Rows sorted by (token, x, y). Within such a group the points of side 1 query the tree of side 0; with x = y, those
+    of the group query their own tree. Groups of FAN points or fewer are trees of one node, and many are done at a time."""
+
+    def solved(table: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        x, y, cid, side, comp, n = (table.column(c).to_numpy() for c in ("x", "y", "cid", "side", "comp", "n"))
+        ends = np.append(begins[1:], len(cid))
+        point = points(table.column("point")) if len(cid) else np.zeros((0, GROUPS), np.int32)
+        group = np.repeat(np.arange(len(begins)), ends - begins)
+        left, right = [], []
+        few = (ends - begins <= FAN)[group]
+        for d in range(1, FAN):
+            i = np.flatnonzero(few[:-d] & (group[d:] == group[:-d])) if len(group) > d else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            j = i + d
+            ok = (comp[i] != comp[j]) & ((x[i] == y[i]) | (side[i] != side[j])) & (ratio.den * n[i] >= ratio.num * n[j]) & (ratio.den * n[j] >= ratio.num * n[i])
+            i, j = i[ok], j[ok]
+            for k in range(0, len(i), 1 << 14):
+                a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                good = np.minimum(point[a], point[b]).sum(axis=1) >= ratio.least_overlap(n[a] + n[b])
+                left.append(a[good])
+                right.append(b[good])
+        for lo, hi in zip(begins, ends):
+            if hi - lo <= FAN:
+                continue
+            all_ = np.arange(lo, hi)
+            stored, asks = (all_, all_) if x[lo] == y[lo] else (all_[side[lo:hi] == 0], all_[side[lo:hi] == 1])
+            if not len(stored) or not len(asks):
+                continue
             tree = CountTree(point[stored], n[stored], comp[stored])
             for k in asks:
-                for j in stored[tree.near(point[k], int(n[k]), int(comp[k]), ratio)]:
-                    if cid[j] != cid[k] and comp[j] != comp[k]:
-                        out.add((int(min(cid[j], cid[k])), int(max(cid[j], cid[k]))))
-        return sorted(out)
-
+                found = stored[tree.near(point[k], int(n[k]), int(comp[k]), ratio)]
+                left.append(np.full(len(found), k))
+                right.append(found)
+        left, right = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (left, right))
+        pair = np.unique(np.stack([np.minimum(cid[left], cid[right]), np.maximum(cid[left], cid[right])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["a", "b"])
+
+    rest: pa.Table | None = None
     for batch in batches:
-        found: list[tuple[int, int]] = []
-        for token, x, y, *rest in zip(*(batch.column(c).to_pylist() for c in ("token", "x", "y", "cid", "side", "comp", "n", "point"))):
-            if (token, x, y) != now:
-                found += solved()
-                held, now = [], (token, x, y)
-            held.append(tuple(rest))
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-    found = solved()
-    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None and rest.num_rows else table
+        if not table.num_rows:
+            continue
+        keys = np.stack([table.column(c).to_numpy() for c in ("token", "x", "y")], axis=1)
+        begins = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
+        rest = table.slice(int(begins[-1]))
+        yield solved(table.slice(0, int(begins[-1])), begins[:-1])
+    if rest is not None and rest.num_rows:
+        yield solved(rest, np.zeros(1, np.int64))
 
 
 def checked(batches: Iterator[pa.RecordBatch], words: int, ratio: Ratio) -> Iterator[pa.RecordBatch]:
@@ -233,10 +269,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine, other = (np.frombuffer(raw(batch.column(c))[1], dtype=np.int32) for c in ("point", "p_point"))
-            lo, lo2 = (int(raw(batch.column(c))[0][0]) // 4 for c in ("point", "p_point"))
-            size = batch.num_rows * GROUPS
-            most = np.minimum(mine[lo : lo + size], other[lo2 : lo2 + size]).reshape(-1, GROUPS).sum(axis=1)
+            most = np.minimum(points(batch.column("point")), points(batch.column("p_point"))).sum(axis=1)
             total = batch.column("n").to_numpy() + batch.column("p_n").to_numpy()
             yield batch.select(["pivot", "cid"]).filter(pa.array(most >= ratio.least_overlap(total))).rename_columns(["a", "b"])
 
@@ -245,8 +278,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     first = materialise(components(links), "first")
 
     grouped = members.select("token", "cid").join(first.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("comp"))
-    counts = grouped.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    tops = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("top_k"), F.sum("k").alias("all_k")).where("all_k > top_k")
+    counts = grouped.groupBy("token", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
+    tops = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("top_k"), F.sum("k").alias("all_k"), F.sum("mark").alias("mark")).where("all_k > top_k")
+    tops = tops.groupBy("mark", "all_k").agg(F.min(F.struct("token", "top", "top_k")).alias("t")).select("t.*", "all_k")  # one shingle of those with the same classes
     parts = tops.select("token", "top", F.ceil(F.col("top_k") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all_k") - F.col("top_k")) / BLOCK).cast("int").alias("n_rest"))
     dealt = grouped.join(parts, "token").join(slim, "cid").withColumn("h", F.xxhash64("cid"))
     # x: a block of the rest; y: 0.. blocks of the rest, -1.. blocks of the largest component
