@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from .jaccard import jaccard_join
 from .line_dedup import line_dedup
 from .lm import lm_scores
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -70,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mixing, op4_quality_classifier, op5_line_dedup, op6_personal_data, op7_lm_scoring, op8_token_counts, op9_decontamination, op10_exact_dedup)
+    f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_source_mixing, op4_quality_classifier, op5_line_dedup, op6_personal_data, op7_lm_scoring, op8_token_counts, op9_decontamination, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
