@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,10 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pairs(token: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it; before a text's first there is an END in any case."""
+    """56-bit key of each token with the one before it; before a text's first there is an END in any case."""
     one, two = series(2, 55)
     before = np.concatenate([[END], token[:-1]]).astype(np.uint64)
-    return mix(before * one + token * two)
+    return mix(before * one + token * two) & np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -70,10 +71,49 @@ def slices(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, dtype=np.uint64)), len(keys))
 
 
-def keyed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Tokens and offsets of a shard's rows, and its sorted distinct keys: words, then pairs."""
-    token, cut = tokens(*raw(table.column("text")))
-    return token, cut, [np.unique(token), np.unique(pairs(token))]
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place among them of each."""
+    code, found = pd.factorize(x)
+    order = np.argsort(found)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return found[order], place[code]
+
+
+def keyed(docs: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Offsets of the tokens of a shard's rows, and its keys with the key of each token: words, then pairs."""
+    token, cut = tokens(*raw(docs.column("text")))
+    return cut, [distinct(token), distinct(pairs(token))]
+
+
+def deal(shards: int):
+    """Rows of a batch that go to one shard travel as one compressed block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            order = np.argsort(batch.column("shard").to_numpy(), kind="stable")
+            rows = pa.Table.from_batches([batch.take(pa.array(order))])
+            shard = rows.column("shard").to_numpy()
+            begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+            blobs = []
+            for lo, hi in zip(begins, [*begins[1:], len(shard)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, DEALT, options=options) as out:
+                    out.write_table(rows.slice(lo, hi - lo).select(DEALT.names).cast(DEALT))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[k]) for k in begins], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "block"])
+
+    return run
+
+
+DEALT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.string())])
+
+
+def undealt(table: pa.Table) -> pa.Table:
+    """A shard's rows, in an order that doesn't depend on the shuffle's."""
+    blocks = sorted(x.as_py() for x in table.column("block"))
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks])
 
 
 #: A bucket's counts are asked for by shard: words, their training counts in the shard, pairs, theirs.
@@ -83,12 +123,12 @@ TOLD = "shard int, bucket int, n_words binary, n_pairs binary, train_tokens long
 
 def ask(buckets: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        token, cut, keys = keyed(table)
-        train = np.repeat(table.column("train").to_numpy(), np.diff(cut))
+        docs = undealt(pa.Table.from_batches(list(batches)))
+        cut, keys = keyed(docs)
+        train = np.repeat(docs.column("train").to_numpy(), np.diff(cut))
         columns = []
-        for k, mine in zip(keys, (token, pairs(token))):
-            count = np.bincount(np.searchsorted(k, mine[train]), minlength=len(k)).astype(np.int32)
+        for k, place in keys:
+            count = np.bincount(place[train], minlength=len(k)).astype(np.int32)
             at = slices(k, buckets)
             columns.append([(pack_keys(k[a:b]), pack(count[a:b])) for a, b in zip(at, at[1:])])
         shard = key[0].as_py()
@@ -118,14 +158,15 @@ def tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 COUNTED = "doc_id long, train boolean, n_tokens long, words binary, pairs binary, train_tokens long, distinct_tokens long"
 
 
-def counted(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+def counted(key: tuple, dealt: pa.Table, told: pa.Table) -> pa.Table:
     """For every token of a document how often training texts have it, and have it after the one before."""
-    token, cut, keys = keyed(docs)
+    docs = undealt(dealt)
+    cut, keys = keyed(docs)
     told = told.sort_by("bucket")
     columns = []
-    for k, mine, name in zip(keys, (token, pairs(token)), ("n_words", "n_pairs")):
+    for (_, place), name in zip(keys, ("n_words", "n_pairs")):
         total = np.concatenate([unpack(x.as_py(), np.int64) for x in told.column(name)])
-        columns.append(total[np.searchsorted(k, mine)])
+        columns.append(total[place])
     blobs = [pa.array([pack(c[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()) for c in columns]
     sums = [pa.array([sum(told.column(c).to_pylist())] * docs.num_rows, pa.int64()) for c in ("train_tokens", "distinct_tokens")]
     return pa.table([docs.column("doc_id"), docs.column("train"), pa.array(np.diff(cut), pa.int64()), *blobs, *sums], ["doc_id", "train", "n_tokens", "words", "pairs", "train_tokens", "distinct_tokens"])
@@ -213,8 +254,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Without training tokens all counts are 0. Empty in, empty out; other columns aren't looked at.
     """
     docs = with_columns(docs, doc_id="long", text="string")
-    shards = shards_for(docs, "text", 16 << 20)
-    dealt = docs.select("doc_id", "text", learning("doc_id").alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard")
+    shards = shards_for(docs, "text", 8 << 20)
+    dealt = docs.select("doc_id", "text", learning("doc_id").alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.mapInArrow(deal(shards), "shard int, block binary").repartition(shards, "shard")
     asked = dealt.groupBy("shard").applyInArrow(ask(shards), ASKED)
     told = asked.repartition(shards, "bucket").groupBy("bucket").applyInArrow(tell, TOLD)
     told = told.repartition(shards, "shard")
