@@ -148,7 +148,7 @@ class CountTree:
 
 
 def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, x, y). Within such a group the points of side 1 query the tree of side 0; with x = y, those
+    """Rows sorted by (pivot, x, y). Within such a group the points of side 1 query the tree of side 0; with x = y, those
     of the group query their own tree. Groups of FAN points or fewer are trees of one node, and many are done at a time."""
 
     def solved(table: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
@@ -192,7 +192,7 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.R
         table = pa.concat_tables([rest, table]) if rest is not None and rest.num_rows else table
         if not table.num_rows:
             continue
-        keys = np.stack([table.column(c).to_numpy() for c in ("token", "x", "y")], axis=1)
+        keys = np.stack([table.column(c).to_numpy() for c in ("pivot", "x", "y")], axis=1)
         begins = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
         rest = table.slice(int(begins[-1]))
         yield solved(table.slice(0, int(begins[-1])), begins[:-1])
@@ -241,10 +241,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     that links lead to, two documents being linked when den * |intersection| >= num * |union|.
 
     Equal sets are one class and are compared once. Classes meet through shingles of their prefixes (rare ones first, by
-    a sketch of all documents' counts). Each class is checked with the smallest class of each shingle it shares, which
-    settles groups of copies with as many checks as members. The rest are classes that share a shingle but no component so
+    a sketch of all documents' counts). Each class is checked with the smallest class of each shingle it shares, its pivot, which
+    settles groups of copies with as many checks as members. The rest are classes that share a pivot but no component so
     far: their counts of shingles by hash group are points of an R-tree, a query skips what lies in its own component
-    and what the sum of coordinate minima rules out, and the pairs left are checked by their whole sets. Shingles with
+    and what the sum of coordinate minima rules out, and the pairs left are checked by their whole sets. Pivots with
     many classes go to several tasks in blocks, and of the largest component only the others' pairs with it are looked at.
     No link is lost: prefixes and minima are bounds, and nothing is capped.
 
@@ -261,9 +261,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "r.*"), "classes")
     entries = classes.select("cid", F.explode("prefix").alias("token"))
     shared = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("token", "pivot")
-    members = materialise(entries.join(shared, "token"), "members")
+    members = materialise(entries.join(shared, "token").select("pivot", "cid").distinct(), "members")
     slim = classes.select("cid", "n", "point")
-    stars = members.where("cid <> pivot").select("cid", "pivot").distinct()
+    stars = members.where("cid <> pivot")
     stars = stars.join(slim, "cid").join(slim.select(F.col("cid").alias("pivot"), F.col("n").alias("p_n"), F.col("point").alias("p_point")), "pivot")
     stars = stars.where(F.expr(f"{den} * n >= {num} * p_n and {den} * p_n >= {num} * n"))
 
@@ -277,20 +277,19 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     links = materialise(verified(materialise(stars, "stars"), classes, docs, words, ratio), "links")
     first = materialise(components(links), "first")
 
-    grouped = members.select("token", "cid").join(first.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("comp"))
-    counts = grouped.groupBy("token", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
-    tops = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("top_k"), F.sum("k").alias("all_k"), F.sum("mark").alias("mark")).where("all_k > top_k")
-    tops = tops.groupBy("mark", "all_k").agg(F.min(F.struct("token", "top", "top_k")).alias("t")).select("t.*", "all_k")  # one shingle of those with the same classes
-    parts = tops.select("token", "top", F.ceil(F.col("top_k") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all_k") - F.col("top_k")) / BLOCK).cast("int").alias("n_rest"))
-    dealt = grouped.join(parts, "token").join(slim, "cid").withColumn("h", F.xxhash64("cid"))
+    grouped = members.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("pivot", "cid", F.coalesce("root", "cid").alias("comp"))
+    counts = grouped.groupBy("pivot", "comp").agg(F.count("*").alias("k"))
+    tops = counts.groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("top_k"), F.sum("k").alias("all_k")).where("all_k > top_k")
+    parts = tops.select("pivot", "top", F.ceil(F.col("top_k") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all_k") - F.col("top_k")) / BLOCK).cast("int").alias("n_rest"))
+    dealt = grouped.join(parts, "pivot").join(slim, "cid").withColumn("h", F.xxhash64("cid"))
     # x: a block of the rest; y: 0.. blocks of the rest, -1.. blocks of the largest component
     top = dealt.where("comp = top").withColumn("y", -1 - F.pmod("h", "n_top")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).withColumn("side", F.lit(0))
     rest = dealt.where("comp <> top").withColumn("own", F.pmod("h", "n_rest").cast("int"))
     with_top = rest.withColumn("y", F.explode(F.sequence(-F.col("n_top"), F.lit(-1)))).withColumn("x", F.col("own")).withColumn("side", F.lit(1))
     among = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).withColumn("x", F.least("own", "o")).withColumn("y", F.greatest("own", "o")).withColumn("side", (F.col("own") != F.col("x")).cast("int"))
-    names = ["token", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "cid", "side", "comp", "n", "point"]
+    names = ["pivot", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "cid", "side", "comp", "n", "point"]
     queries = top.select(*names).unionByName(with_top.select(*names)).unionByName(among.select(*names))
-    queries = queries.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    queries = queries.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
     more = queries.mapInArrow(lambda batches: tree_pairs(batches, ratio), "a long, b long").distinct()
     late = verified(materialise(more, "pairs"), classes, docs, words, ratio)
     roots = components(links.unionByName(late))
