@@ -342,10 +342,7 @@ def html_text_by_join(pages: DataFrame, types: str) -> DataFrame:
     """The same where templates are too many to send to every task: each page gets its host's by a join."""
     import pandas as pd
 
-    @F.pandas_udf("long")
-    def host_key(url: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh64_intdigest(host(u)) for u in url], dtype="uint64").astype("int64")
-
+    host_key = F.pandas_udf(lambda url: pd.Series([xxhash.xxh64_intdigest(host(u)) for u in url], dtype="uint64").astype("int64"), "long")
     by_host = templates(pages).groupBy("host").agg(F.collect_set(F.col("host").bitwiseXOR(F.col("node"))).alias("keys"))
     joined = pages.withColumn("host", host_key("url")).join(by_host, "host", "left")
 

@@ -49,12 +49,12 @@ def pairs(token: np.ndarray) -> np.ndarray:
 
 def pack(x: np.ndarray) -> bytes:
     """Planes of bytes: the high ones are nearly all 0 and compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

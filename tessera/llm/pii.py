@@ -33,31 +33,35 @@ CONTEXT = 64  # code points beside a find in which its neighbouring words are lo
 LEAST_CONFIDENCE, LEAST_SEEDS, ROUNDS = 0.9, 3, 3
 
 
-def placed(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Matches with their places, as array of (s, e, v, l, r): code points, end exclusive, and the words beside."""
+def searched(text: Column, pattern: str, needs: str | None = None) -> tuple[Column, Column]:
+    """Matches, and the texts between them: one more than matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     if needs:
         has = F.contains(text, F.lit(needs))
         hits, gaps = F.when(has, hits).otherwise(F.array().cast("array<string>")), F.when(has, gaps).otherwise(F.array(F.lit("")))
-    near = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("l"), F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("r")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<s:int,e:int,k:int>>").alias("out"))
-    # places first: lengths alone are folded; then each match is looked up once
-    walked = F.aggregate(
-        F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))),
+    return hits, gaps
+
+
+def placed(hits: Column, gaps: Column) -> Column:
+    """Matches with their places, as array of (s, e, v, l, r): code points, end exclusive, and the words beside."""
+    near = F.transform(gaps, lambda g: F.struct(F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("l"), F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("r")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string,l:string,r:string>>").alias("out"))
+    beside = F.zip_with(F.slice(near, 1, F.size(hits)), F.slice(near, 2, F.size(hits)), lambda a, b: F.struct(a["l"].alias("l"), b["r"].alias("r")))
+    parts = F.zip_with(
+        F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("g"), F.length(h).alias("h"), h.alias("v"))),
+        beside,
+        lambda w, c: F.struct(w["g"].alias("g"), w["h"].alias("h"), w["v"].alias("v"), c["l"].alias("l"), c["r"].alias("r")),
+    )
+    return F.aggregate(
+        parts,
         start,
         lambda acc, x: F.struct(
             (acc["at"] + x["g"] + x["h"]).alias("at"),
-            (acc["k"] + 1).alias("k"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["h"]).alias("e"), acc["k"].alias("k")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["h"]).alias("e"), x["v"].alias("v"), x["l"].alias("l"), x["r"].alias("r")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    return F.zip_with(
-        F.zip_with(walked, hits, lambda w, h: F.struct(w["s"].alias("s"), w["e"].alias("e"), h.alias("v"))),
-        F.zip_with(F.slice(near, 1, F.size(hits)), F.slice(near, 2, F.size(hits)), lambda a, b: F.struct(a["l"].alias("l"), b["r"].alias("r"))),
-        lambda w, c: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["v"].alias("v"), c["l"].alias("l"), c["r"].alias("r")),
-    )
 
 
 def luhn(digits: Column) -> Column:
@@ -93,7 +97,10 @@ def listed(spans: Column) -> Column:
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, base (valid matches of the patterns) and loose (other runs of words with digits), places in code points."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    raw = texts.select("doc_id", "key", *[placed(F.col("t"), PATTERNS[k], NEEDS[k]).alias(k) for k in KINDS], placed(F.col("t"), CANDIDATE).alias("runs"))
+    # each search is a column of its own, which the optimizer doesn't copy into the several places that use it
+    searches = {k: searched(F.col("t"), PATTERNS[k], NEEDS[k]) for k in KINDS} | {"runs": searched(F.col("t"), CANDIDATE)}
+    pieces = texts.select("doc_id", "key", *[c.alias(f"{k}_{n}") for k, pair in searches.items() for n, c in zip(("hits", "gaps"), pair)])
+    raw = pieces.select("doc_id", "key", *[placed(F.col(f"{k}_hits"), F.col(f"{k}_gaps")).alias(k) for k in searches])
 
     def named(kind: str) -> Column:
         o = KINDS.index(kind)
