@@ -45,12 +45,12 @@ def kept(df: DataFrame, config: Config, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def candidate_routes(sources: DataFrame, targets: DataFrame, config: Config) -> DataFrame:
+def candidate_routes(sources: DataFrame, targets: DataFrame, config: Config, name: str = "train") -> DataFrame:
     """Raw candidates: blocking keys, rescue within hot keys, and vectors where lexical candidates are few."""
     frequency = keys.token_frequency(sources)
-    source_keys = keys.key_rows(sources, keys.rare_tokens(sources, frequency, config.token_limit), config.lsh)
+    source_keys = kept(keys.key_rows(sources, keys.rare_tokens(sources, frequency, config.token_limit), config.lsh), config, f"{name}_source_keys")
     target_keys = keys.key_rows(targets, keys.rare_tokens(targets, frequency, config.token_limit), config.lsh)
-    target_keys = blocking.active_keys(target_keys, source_keys)
+    target_keys = kept(blocking.active_keys(target_keys, source_keys), config, f"{name}_target_keys")
     bounded_s, hot_s = blocking.split_by_frequency(source_keys, config.key_limit)
     bounded_t, hot_t = blocking.split_by_frequency(target_keys, config.key_limit)
     hot = hot_s.select(*blocking.BY).unionByName(hot_t.select(*blocking.BY)).distinct()
@@ -75,7 +75,7 @@ def build_store(sources: DataFrame, targets: DataFrame, truth: DataFrame | None
     config = config or Config()
     s = kept(derived(tables.require_unique(sources)), config, f"{name}_sources")
     t = kept(derived(tables.unique_targets(targets)), config, f"{name}_targets")
-    raw = kept(candidate_routes(s, t, config), config, f"{name}_raw")
+    raw = kept(candidate_routes(s, t, config, name), config, f"{name}_raw")
     final = kept(finalize(raw, s, t, config), config, f"{name}_final")
     return Store(s, t, raw, final, truth)
 
