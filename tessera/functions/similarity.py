@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,22 +126,16 @@ def first_number_match(a: str, b: str) -> Column:
     return F.when(one.isNull() | two.isNull(), F.lit(0.5)).otherwise((one == two).cast("double"))
 
 
-def gram_counts(text: str) -> Column:
-    """Character trigrams within words, each word with a space at both ends, sorted with repeats."""
-    words = F.filter(F.split(F.col(text), " "), lambda w: w != "")
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda k: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), k, F.lit(3))))
-    return F.array_sort(F.flatten(grams))
+def gram_cosine(a: str, b: str) -> float:
+    """Cosine of the counts of character trigrams within words, each word with a space at both ends; 0 where a side has none."""
+    x, y = (Counter(w[k : k + 3] for w in (f" {t} " for t in text.split()) for k in range(max(1, len(w) - 2))) for text in (a, b))
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return sum(v * y[g] for g, v in x.items()) / norm if norm else 0.0
 
 
 def trigram_cosine(a: str, b: str) -> Column:
-    """Cosine of trigram counts; 0 where a side has none."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.array_distinct(x), F.lit(0).cast("long"), lambda acc, g: acc + F.size(F.filter(x, lambda v: v == g)) * F.size(F.filter(y, lambda v: v == g)))
-
-    x, y = gram_counts(a), gram_counts(b)
-    norm = F.sqrt((dot(x, x) * dot(y, y)).cast("double"))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(x, y) / norm)
+    """In Arrow batches: an expression over arrays of grams compares every gram with every other."""
+    return F.pandas_udf(lambda left, right: pd.Series([gram_cosine(*p) for p in zip(left.fillna(""), right.fillna(""))], dtype="float64"), "double")(F.col(a), F.col(b))
 
 
 def length_ratio(a: str, b: str) -> Column:

@@ -146,7 +146,9 @@ def feature_table(rows: DataFrame) -> DataFrame:
         "semantic_similarity": F.col("semantic_score").cast("double"),
         "semantic_rank_score": F.when(F.col("semantic_rank") > 0, 1.0 / (1.0 + F.col("semantic_rank"))).otherwise(0.0),
     }
-    made = rows.withColumns(made)
+    # Arrow columns apart from built-in ones
+    names = list(made)
+    made = rows.withColumns({c: made[c] for c in names if not c.endswith(("ratio", "cosine")) or c.endswith("length_ratio")}).withColumns({c: made[c] for c in names if c.endswith(("ratio", "cosine")) and not c.endswith("length_ratio")})
     return made.withColumn("semantic_lexical_alignment", F.col("semantic_similarity") * F.greatest("name_ratio", "address_ratio"))
 
 

@@ -82,7 +82,7 @@ def test_pipeline_links_exact_and_fuzzy_pairs(spark):
     config = linkage.Config(lsh=False)
     store = linkage.build_store(s, t, truth, config)
     assert metrics.retrieval_recall(store.sources, truth, store.final).first()["pair_recall"] == 1.0
-    rows = linkage.labelled(store, config)
+    rows = linkage.labelled(store, config).persist()
     assert set(features.FEATURES) <= set(rows.columns) and len(features.FEATURES) == 69
     assert rows.select("source1_id", "target_id").distinct().count() == rows.count()
     assert not [c for c, n in rows.select([F.sum(F.col(c).isNull().cast("int")).alias(c) for c in features.FEATURES]).first().asDict().items() if n]
