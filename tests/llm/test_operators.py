@@ -205,6 +205,29 @@ def test_decontamination_finds_edited_passages(spark, none):
     assert contamination(none, b).count() == 0 and contamination(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_loses_no_passage(spark):
+    import numpy as np
+
+    from tessera.llm.decontamination import contamination, smith_waterman, uncontaminated
+
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [[word() for _ in range(30)] for _ in range(5)] + [["Ñandú", "été", "übel", "ÇA", "œuvre", "Ärger"]]
+    every = lambda t, n: [w if k % n else word() for k, w in enumerate(t)]
+    texts = [every(items[0], 5), every(items[1], 3), [x for w in items[2] for x in (w, word())], items[3][:16], [w.upper() if k % 2 else w.lower() for k, w in enumerate(items[5])]]
+    texts = [[word() for _ in range(40)] + t + [word() for _ in range(40)] for t in texts] + [items[4][k % 3 * 4 :] + [word()] for k in range(20)]
+    texts += [[rng.choice(items[k % 5]) for _ in range(60)] for k in range(20)] + [every(items[k % 5], 2) for k in range(10)]  # many words of an item, few in order
+    d = spark.createDataFrame([(k, ", ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    code: dict[str, int] = {}
+    numbers = lambda t: np.array([code.setdefault(w.lower(), len(code)) for w in t])
+    for least in (0.3, 0.5, 0.8):
+        want = {(i, k): x for i, t in enumerate(texts) for k, m in enumerate(items) if (x := smith_waterman(numbers(m), numbers(t))[0] / (2 * len(m))) >= least}
+        assert {(r.doc_id, r.item_id): r.score for r in contamination(d, b, least).collect()} == want
+        assert {r.doc_id for r in uncontaminated(d, b, least).collect()} == set(range(len(texts))) - {i for i, _ in want}
+        assert least != 0.5 or {(0, 0), (1, 1), (2, 2), (3, 3), (4, 5)} <= set(want)
+
+
 def test_personal_data(spark, none):
     from tessera.llm.pii import personal_data
 
