@@ -73,8 +73,34 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last line of the shortest runs, from each line that has words on and back, that have ``least`` words.
+
+    A block of neighbouring lines with so many words is covered, but for lines without words at its ends, by runs in it.
+    """
+    at = [k for k, n in enumerate(words) if n > 0]
+    out, b, n = set(), 0, 0
+    for a, k in enumerate(at):  # from line k on
+        while b < len(at) and (n < least or b <= a):
+            n += words[at[b]]
+            b += 1
+        if n < least:
+            break
+        out.add((k, at[b - 1]))
+        n -= words[k]
+    a = n = 0
+    for b, k in enumerate(at):  # back from line k
+        n += words[k]
+        while a < b and n - words[at[a]] >= least:
+            n -= words[at[a]]
+            a += 1
+        if n >= least:
+            out.add((at[a], k))
+    return sorted(out)
+
+
 def doomed(mine: list[int], other: list[int], words: list[int], least: int) -> list[int]:
-    """Lines of ``mine`` in blocks that align with ``other`` without a gap and have enough words."""
+    """Lines of ``mine`` in blocks that align with ``other`` without a gap and have enough words, and in blocks that moved."""
     out, block, last = [], [], (-2, -2)
     for i, j in [*patience(mine, other), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
@@ -83,7 +109,25 @@ def doomed(mine: list[int], other: list[int], words: list[int], least: int) -> l
             block = []
         block.append(i)
         last = (i, j)
-    return out
+    gone = set(out)
+    if left := [(i, j) for i, j in runs(words, least) if not gone.issuperset(range(i, j + 1))]:
+        size, held, lo = dict(zip(mine, words)), set(), 0
+        for hi in [*(k for k, x in enumerate(other) if x not in size), len(other)]:
+            held |= {tuple(other[lo + i : lo + j + 1]) for i, j in runs([size[x] for x in other[lo:hi]], least)}
+            lo = hi + 1
+        for i, j in left:
+            if tuple(mine[i : j + 1]) in held:
+                gone.update(range(i, j + 1))
+    return sorted(gone)
+
+
+def run_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct runs, as hashes."""
+    for batch in batches:
+        rows: list[tuple[int, int, int]] = []
+        for doc, key, lines, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "lines", "words"))):
+            rows += [(doc, key, run) for run in {lines[i] if i == j else hash(tuple(lines[i : j + 1])) for i, j in runs(words, least)}]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 3)], ["doc_id", "key", "run"])
 
 
 def aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -99,10 +143,11 @@ def aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """key (a hash of doc_id and text), cut: the lines of each document, from 0, that an earlier document also has.
 
-    A line's owner is the smallest doc_id that has it. A document is aligned with each earlier document that owns one
-    of its lines, by hashes of the lines without white space at their ends. So pairs are as many as the lines that
-    repeat, at most, however often one does, and no frequency is left out; the rarest lines a pair shares are its
-    anchors, since patience diff aligns unique lines first. Only line hashes travel, not texts.
+    Documents meet by runs of neighbouring lines, the shortest that have ``least`` words. A run's owner is the document of
+    smallest doc_id that has it; a document is aligned with each earlier one that owns one of its runs, by hashes of the
+    lines without white space at their ends. A block with so many words is made of runs, and each run's owner holds it
+    whole: so no block is lost, whatever order blocks stand in. Pairs are as many as the runs that repeat, at most,
+    however often one does, and no frequency is left out. Only line hashes travel, not texts.
     """
     body = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     bare = F.transform(body, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
@@ -113,11 +158,10 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         F.transform(body, lambda x: F.regexp_count(x, F.lit(WORDS))).alias("words"),
     )
     table = materialise(table.dropDuplicates(["key"]), "lines")
-    each = table.select("doc_id", "key", F.explode(F.arrays_zip("lines", "words")).alias("l")).where("l.words > 0").select("doc_id", "key", F.col("l.lines").alias("line"))
-    owners = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("line", "owner")
-    pairs = each.join(owners, "line").where("owner < doc_id").select("key", "owner").distinct()
-    earlier = table.groupBy("doc_id").agg(F.min_by("lines", "key").alias("earlier"))
-    both = pairs.join(table.select("key", "lines", "words"), "key").join(earlier.withColumnRenamed("doc_id", "owner"), "owner")
+    each = table.select("doc_id", "key", "lines", "words").mapInArrow(lambda b: run_rows(b, least), "doc_id long, key long, run long")
+    owners = each.groupBy("run").agg(F.min(F.struct("doc_id", "key")).alias("owner"), F.max("doc_id").alias("last")).where("owner.doc_id < last").select("run", F.col("owner.doc_id").alias("first"), F.col("owner.key").alias("owner"))
+    pairs = each.join(owners, "run").where("first < doc_id").select("key", "owner").distinct()
+    both = pairs.join(table.select("key", "lines", "words"), "key").join(table.select(F.col("key").alias("owner"), F.col("lines").alias("earlier")), "owner")
     found = both.select("key", "lines", "words", "earlier").mapInArrow(lambda b: aligned(b, least), "key long, cut array<int>")
     return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 

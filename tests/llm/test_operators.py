@@ -156,6 +156,36 @@ def test_line_dedup(spark, none):
     assert line_dedup(none).count() == 0
 
 
+def test_line_dedup_finds_every_block(spark):
+    from tessera.llm.line_dedup import line_dedup
+
+    rng = random.Random(23)
+    long = [f"one two three four five {k}" for k in range(4)]
+    short = [f"s{k} t{k}" for k in range(6)]
+    rows = [(k, f"own words {k}\n{short[k]}\nmore of {k}") for k in range(6)]  # each short line has another owner
+    rows += [(10, "\n".join(short)), (11, "\n".join(short)), (12, "\n".join(long)), (13, "\n".join(long[::-1]))]
+    rows += [(100 + k, "\n".join(rng.choice(["a b", "c", "d e f", "", "g h i j k"]) for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    rows += [(200, "first of two rows of one id"), (200, "second of two rows of one id"), (201, "second of two rows of one id"), (202, "first of two rows of one id")]
+    got = [(r.doc_id, r.n_removed, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    blocks = {}  # of lines whose ends have words: the first document that has each
+    for d, t in rows:
+        lines = t.split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if lines[i] and lines[j] and len(low(" ".join(lines[i : j + 1]))) >= 5:
+                    blocks.setdefault(tuple(lines[i : j + 1]), d)
+    want = []
+    for d, t in rows:
+        lines, cut = t.split("\n"), set()
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if blocks.get(tuple(lines[i : j + 1]), d) < d:
+                    cut |= set(range(i, j + 1))
+        want.append((d, [x for k, x in enumerate(lines) if k not in cut and x]))
+    assert sorted((d, [x for x in t.split("\n") if x]) for d, _, t in got) == sorted(want)
+    assert {d: n for d, n, _ in got if d in (10, 11, 12, 13, 201, 202)} == {10: 0, 11: 6, 12: 0, 13: 4, 201: 1, 202: 1}
+
+
 def test_patience_is_a_common_subsequence():
     from tessera.llm.line_dedup import patience
 
