@@ -31,6 +31,7 @@ LOOSE = {
 EDGES = "\"'`,;:!?()[]{}<>."
 CONTEXT = 64  # code points beside a find in which its neighbouring words are looked for
 LEAST_CONFIDENCE, LEAST_SEEDS, ROUNDS = 0.9, 3, 3
+DOUBT = 0.25  # contrary instances that any pattern is taken to have: LEAST_SEEDS reach LEAST_CONFIDENCE, fewer don't
 
 
 def searched(text: Column, pattern: str, needs: str | None = None) -> tuple[Column, Column]:
@@ -122,30 +123,40 @@ def learnt_spans(found: DataFrame) -> DataFrame:
     """key, more: spans that contexts of known finds disclose.
 
     A graph joins lexical patterns (a kind and the word before or after) to instances, the values found beside that word. Valid
-    base matches are seeds of weight 1, loose forms start at 0. In each round a pattern's confidence is the weight of its
-    instances over their number plus one, if LEAST_SEEDS seeds support it, and an instance takes the confidence of its
-    best pattern that reaches LEAST_CONFIDENCE. The rounds end with the patterns whose instances are given out.
+    base matches are seeds of weight 1, loose forms of the kind start at 0. Contrary are values known to be something
+    else: seeds of other kinds, values that have no form of the kind, and card numbers whose check digit is wrong
+    (which are given out all the same where their context is a card's).
+    In each round a pattern's confidence is the weight of its instances over that weight, its contrary ones and DOUBT, if
+    LEAST_SEEDS seeds support it: loose forms that nothing is known of don't count. An instance takes the confidence of
+    its best pattern that reaches LEAST_CONFIDENCE. The rounds end with the patterns whose instances are given out.
     """
-    seeds = found.select("key", F.explode("base").alias("x")).select("key", "x.s", "x.e", "x.o", "x.v", "x.l", "x.r", F.lit(1.0).alias("seed"))
+    places = ("key", "s", "e", "v", "l", "r")
+    known = found.select("key", F.explode("base").alias("x")).select("key", "x.*").withColumn("k", F.array(*[F.struct(F.lit(o).alias("o"), F.when(F.col("o") == o, 1.0).otherwise(-1.0).alias("seed")) for o in range(len(KINDS))]))
     others = found.select("key", F.explode("loose").alias("x")).select("key", "x.*")
-    typed = [others.where(F.col("v").rlike(LOOSE[k])).select("key", "s", "e", F.lit(o).alias("o"), "v", "l", "r", F.lit(0.0).alias("seed")) for o, k in enumerate(KINDS)]
-    rows = seeds
-    for t in typed:
-        rows = rows.unionByName(t)
+
+    def state(kind: str) -> Column:
+        digits = F.length(F.regexp_replace("v", "[^0-9]", ""))
+        wrong = F.lit(False)
+        if kind == "card":  # as long as a card's, but the check digit isn't right
+            wrong = F.col("v").rlike(f"^{PATTERNS['card']}$") & digits.between(14, 19) & ~valid("card", F.col("v"))
+        return F.when(~F.col("v").rlike(LOOSE[kind]), -1.0).when(wrong, -0.5).otherwise(0.0)
+
+    others = others.withColumn("k", F.array(*[F.struct(F.lit(o).alias("o"), state(k).alias("seed")) for o, k in enumerate(KINDS)]))
+    rows = known.select(*places, F.explode("k").alias("k")).unionByName(others.select(*places, F.explode("k").alias("k"))).select(*places, "k.*")
     sides = F.array(F.struct(F.lit("before").alias("side"), F.col("l").alias("word")), F.struct(F.lit("after").alias("side"), F.col("r").alias("word")))
     uses = rows.withColumn("p", F.explode(sides)).where("p.word <> ''").select("key", "s", "e", "o", F.lower("v").alias("v"), "p.side", "p.word", "seed")
     uses = materialise(uses, "contexts")
     by = ["o", "side", "word"]
     edges = uses.groupBy(*by, "v").agg(F.max("seed").alias("seed"))
-    weights = edges.withColumn("w", F.col("seed"))
+    weights = edges.withColumn("w", F.greatest("seed", F.lit(0.0)))
     for turn in range(ROUNDS):
-        scored = weights.groupBy(*by).agg((F.sum("w") / (F.count("*") + 1)).alias("c"), F.sum("seed").alias("n"))
+        scored = weights.groupBy(*by).agg((F.sum("w") / (F.sum("w") + F.count_if(F.col("seed") < 0) + DOUBT)).alias("c"), F.count_if(F.col("seed") > 0).alias("n"))
         good = scored.where((F.col("c") >= LEAST_CONFIDENCE) & (F.col("n") >= LEAST_SEEDS)).select(*by, "c")
         if turn == ROUNDS - 1:
             break
-        best = edges.join(good, by).groupBy("o", "v").agg(F.max("c").alias("c"))
-        weights = materialise(edges.join(best, ["o", "v"], "left").withColumn("w", F.greatest("seed", F.coalesce("c", F.lit(0.0)))).drop("c"), "weights")
-    new = uses.where("seed = 0").join(good, by).groupBy("key", "s", "e").agg(F.max(F.struct("c", (-F.col("o")).alias("o"))).alias("b"))
+        best = edges.where("seed >= 0").join(good, by).groupBy("o", "v").agg(F.max("c").alias("c"))
+        weights = materialise(edges.join(best, ["o", "v"], "left").withColumn("w", F.when(F.col("seed") < 0, 0.0).otherwise(F.greatest("seed", F.coalesce("c", F.lit(0.0))))).drop("c"), "weights")
+    new = uses.where("seed > -1 and seed < 1").join(good, by).groupBy("key", "s", "e").agg(F.max(F.struct("c", (-F.col("o")).alias("o"))).alias("b"))
     return new.groupBy("key").agg(F.collect_set(F.struct("s", "e", (-F.col("b.o")).alias("o"))).alias("more"))
 
 

@@ -281,6 +281,17 @@ def test_contexts_disclose_identifiers(spark):
     assert got[100].spans == "phone:12:26" and got[100].n_phone == 0 and got[101].spans == ""
 
 
+def test_contexts_need_few_seeds(spark):
+    from tessera.llm.pii import personal_data
+
+    rows = [(k, f"please dial +1 (212) 555-{k:04d} for it") for k in range(6)] + [(100 + k, f"please dial (212) 555-7{k:03d} for it") for k in range(3)]  # a third unseen
+    rows += [(200 + k, f"see page +1 (212) 556-{k:04d} now") for k in range(6)] + [(300 + k, f"see page {k + 10} now") for k in range(6)] + [(400, "see page (212) 555-9999 now")]  # as often contrary
+    rows += [(500 + k, f"ring +1 (212) 557-{k:04d}") for k in range(2)] + [(600, "ring (212) 555-8888")]  # too few seeds
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + k] for k in range(3)] == ["phone:12:26"] * 3
+    assert got[400] == "" and got[600] == "" and got[300] == ""
+
+
 def test_language_model(docs, none, spark):
     from tessera.llm.lm import lm_scores
 
