@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import patience
-from .store import with_columns
+from .store import materialise, shuffle_partitions, with_columns
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][^\s=/>"']*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
@@ -25,7 +25,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-NO_TEXT = frozenset("head nav footer aside form button select option menu dialog svg canvas object audio video map math datalist fieldset label".split()) | RAW
+#: Never shown as text; the rest of a page is aligned before anything is judged by name.
+NO_TEXT = frozenset("head svg canvas object audio video map datalist".split()) | RAW
+FORMS = frozenset("form fieldset".split())
+CHROME_TAGS = frozenset("nav footer aside button select option menu dialog label".split()) | FORMS
 #: What a start tag ends: elements whose end tags may be left out.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("table ul ol dl select html body article section main div td th blockquote".split())
@@ -35,49 +38,68 @@ CHROME = frozenset(
 )
 HEADS = frozenset("header head topnav contentinfo complementary".split())
 CENTRES = frozenset(("article", "main"))
+REMARKS = frozenset("comment comments commentlist reply replies respond".split())
+#: Words at the front of a class that say what an element has, or how it is filed, not what it is.
+ABOUT = frozenset("no not non without has have with hide hides show shows is category cat tag tagged topic post type format single page template paged status term taxonomy author date js layout align".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
-LEAST_PAGES, LEAST_SHARE = 3, 0.5  # of a host's different pages, in which a node must be constant to be template
-BROADCAST_KEYS = 2_000_000  # template nodes, of 8 bytes each, up to which they are sent to every task
-CELLS = 40_000  # of one alignment of children; longer lists align by patience
+LEAST_PAGES = 3  # distinct pages of a host that hold a template node
+LEAST_SHARE, LEAST_SHARE_INSIDE = 0.2, 0.4  # of a host's distinct pages; for nodes within an article or main element
+STEADY = 0.5  # of the pages that have a slot, in which its text must be the same
+TOGETHER = 32  # distinct pages of a host that are aligned with one wrapper
+EQUAL, DIFFERENT, DISTURBED, SHAPE_ONLY = 4, 2, 1, 1  # weights of matched nodes: same text, another text, another text where the slot looks constant, leaf with inner node
+AT_ONCE = 1 << 20  # cells of an alignment of children that are kept; longer lists are halved first
 
 
 class Node:
-    __slots__ = ("label", "kids", "text", "mark", "inside", "keep")
+    """An element, or a leaf: a block of text, with the element around it where that has nothing else."""
 
-    def __init__(self, label: str, text: str | None = None, inside: bool = False) -> None:
-        self.label, self.text, self.inside, self.kids, self.mark, self.keep = label, text, inside, [], 0, False
+    __slots__ = ("centre", "head", "inside", "keep", "kids", "label", "level", "safe", "size", "tag", "text")
+
+    def __init__(self, tag: str, label: str, text: str | None = None) -> None:
+        self.tag, self.label, self.text, self.kids = tag, label, text, []
+        self.size, self.level, self.head, self.centre, self.safe, self.keep, self.inside = 0, 0, False, False, False, False, False
 
 
 def attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)}
 
 
-def chrome(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element's tag or names say that what it holds isn't the article."""
-    if tag in NO_TEXT or tag == "header" and not inside:
-        return True
+def named(tag: str, attrs: dict[str, str]) -> tuple[int, bool]:
+    """How surely an element's tag or names say that what it holds isn't the article (2: surely, 1: by a part of a
+    name, 0: they don't), and whether they call it a header."""
+    if tag in CHROME_TAGS:
+        return 2, False
     if not attrs:
-        return False
+        return 0, tag == "header"
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
+        return 2, False
     if tag in ("html", "body", "main"):
-        return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-    words = {w.lower() for w in SPLIT.split(names) if w} | set(SPLIT.split(names.lower()))
-    return bool(words & CHROME) or bool(words & HEADS) and not inside
+        return 0, False
+    level, head = 0, tag == "header"
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".split():
+        words = [w.lower() for w in SPLIT.split(name) if w]
+        if len(words) > 1 and words[0] in ABOUT and not (tag == "article" and words[0] in REMARKS):
+            continue
+        head = head or bool(HEADS.intersection(words))
+        known = REMARKS if tag == "article" else CHROME
+        if len(words) == 1 and words[0] in known or name.lower() in known:
+            level = 2
+        elif known.intersection(words):
+            level = max(level, 1)
+    return level, head
 
 
-def parse(page: str) -> tuple[Node, bool]:
-    """A tree of block elements whose leaves are blocks of text, without chrome, and whether the page has an article or main element.
+def parse(page: str) -> Node:
+    """A tree of block elements whose leaves are blocks of text.
 
-    Inline elements only add their text to the block; a line break is white space. A block start ends an open paragraph.
+    Inline elements only add their text to the block (those with names of adverts and the like are left out); a line break
+    is white space. A block start ends an open paragraph.
     """
-    root = Node("")
-    stack: list[tuple[str, Node, bool, bool]] = [("", root, False, False)]  # tag, node, in chrome, inside an article
+    root = Node("", "")
+    stack = [root]
     inline: list[str] = []
     parts: list[str] = []
-    centred = False
 
     def flush() -> None:
         if parts:
@@ -85,43 +107,41 @@ def parse(page: str) -> tuple[Node, bool]:
             parts.clear()
             words = (html.unescape(text) if "&" in text else text).split()
             if words:
-                _, node, dead, inside = stack[-1]
-                if not dead:
-                    node.kids.append(Node("#", " ".join(words), inside))
+                stack[-1].kids.append(Node("#", "#", " ".join(words)))
 
     at, n = 0, len(page)
-    muted = 0  # inline chrome that is open
+    muted = 0  # inline elements that are open up to the one that isn't text
+    gone = 0  # block elements that are open up to the one that is never text
     while at < n:
         m = TAG.search(page, at)
         if not m:
-            if not muted:
+            if not muted and not gone:
                 parts.append(page[at:])
             break
-        if m.start() > at and not muted:
+        if m.start() > at and not muted and not gone:
             parts.append(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
-            if m[0].startswith("<![CDATA[") and not muted:
+            if m[0].startswith("<![CDATA[") and not muted and not gone:
                 parts.append(html.escape(m[0][9:-3], quote=False))
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if tag not in BLOCKS:
             if tag == "br" or tag == "wbr":
-                parts.append(" " if tag == "br" else "")
+                parts.append(" " if tag == "br" and not gone and not muted else "")
             elif closing:
                 if tag in inline:
                     while inline.pop() != tag:
                         pass
-                    muted = min(muted, len(inline)) if muted else 0
-                    if muted and len(inline) < muted:
+                    if len(inline) < muted:
                         muted = 0
             elif tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             elif tag not in VOID and not attrs.rstrip().endswith("/"):
                 inline.append(tag)
-                if not muted and chrome(tag, attributes(attrs) if NAMED.search(attrs) else {}, stack[-1][3]):
+                if not muted and (tag in NO_TEXT or named(tag, attributes(attrs) if NAMED.search(attrs) else {})[0]):
                     muted = len(inline)
             continue
         flush()
@@ -129,118 +149,94 @@ def parse(page: str) -> tuple[Node, bool]:
         muted = 0
         if closing:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
-            continue
-        if tag == "hr":
-            continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == "p":
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPES or stack[k][0] in ("li", "dd", "dt"):
-                break
-        if tag in ENDS:
+        elif tag != "hr":
+            if tag == "body":  # a head that was never closed ends here
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "head":
+                        del stack[k:]
+                        break
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ENDS[tag]:
+                if stack[k].tag == "p":
                     del stack[k:]
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif stack[k][0] in SCOPES and stack[k][0] not in ("td", "th"):
                     break
-        _, parent, dead, inside = stack[-1]
-        found = attributes(attrs) if NAMED.search(attrs) else {}
-        dead = dead or chrome(tag, found, inside or tag in CENTRES)
-        inside = inside or not dead and (tag in CENTRES or found.get("role") == "main" or found.get("itemprop") == "articleBody")
-        centred = centred or inside
-        names = ".".join(sorted(re.sub(r"\d+", "0", found.get("class", "")).split())) if found else ""
-        node = Node(f"{tag}.{names}" if names else tag, None, inside)
-        if not dead:
-            parent.kids.append(node)
-        stack.append((tag, node, dead, inside))
-    flush()
-    return root, centred
-
-
-def blocks(root: Node, centred: bool) -> list[tuple[int, Node]]:
-    """Text leaves in page order, of the article where the page names one, with the hash of the labels above and the text."""
-    out: list[tuple[int, Node]] = []
-    todo = [(root, "")]
-    while todo:
-        node, path = todo.pop()
-        if node.text is not None:
-            if node.inside or not centred:
-                out.append((xxhash.xxh64_intdigest(f"{path}\0{node.text}"), node))
-        else:
-            todo += [(kid, f"{path}/{node.label}") for kid in reversed(node.kids)]
-    return out
+                if stack[k].tag in SCOPES or stack[k].tag in ("li", "dd", "dt"):
+                    break
+            if tag in ENDS:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in ENDS[tag]:
+                        del stack[k:]
+                        if tag not in ("tr", "tbody", "tfoot"):
+                            break
+                    elif stack[k].tag in SCOPES and stack[k].tag not in ("td", "th"):
+                        break
+            found = attributes(attrs) if NAMED.search(attrs) else {}
+            names = ".".join(sorted({re.sub(r"\d+", "0", x) for x in found["class"].split()})) if "class" in found and tag not in CENTRES and tag not in ("html", "body") else ""
+            node = Node(tag, f"{tag}.{names}" if names else tag)
+            node.level, node.head = named(tag, found)
+            node.centre = tag in CENTRES or found.get("role") == "main" or found.get("itemprop") == "articleBody"
+            stack[-1].kids.append(node)
+            if not gone and tag in NO_TEXT:
+                gone = len(stack)
+            stack.append(node)
+        if gone >= len(stack):
+            gone = 0
+    if not gone:
+        flush()
+    return root
 
 
-def mark(node: Node) -> int:
-    """Hash of a subtree, its texts included."""
-    order, todo = [], [node]
+def in_order(root: Node) -> list[Node]:
+    """Nodes, each before what it holds, in page order."""
+    out, todo = [], [root]
     while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += x.kids
-    for x in reversed(order):
-        x.mark = hash((x.label, x.text, tuple(k.mark for k in x.kids)))
-    return node.mark
-
-
-def tree_matching(a: Node, b: Node) -> int:
-    """Simple tree matching: size of the largest matching that keeps labels, levels and order; nodes of equal text count
-    double. Text leaves that match with the same text get ``keep`` set on both sides."""
-
-    def align(x: Node, y: Node) -> tuple[int, list[tuple[Node, Node]]]:
-        if x.label != y.label:
-            return 0, []
-        if x.text is not None or y.text is not None:
-            return (2, [(x, y)]) if x.text == y.text else (1, [])
-        xs, ys = x.kids, y.kids
-        lo = 0
-        score, same = 1, []
-        while lo < min(len(xs), len(ys)) and xs[lo].mark == ys[lo].mark:
-            same.append((xs[lo], ys[lo]))
-            lo += 1
-        hi = 0
-        while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi].mark == ys[-1 - hi].mark:
-            same.append((xs[-1 - hi], ys[-1 - hi]))
-            hi += 1
-        score += 2 * len(same)
-        xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
-        if len(xs) * len(ys) > CELLS:
-            pairs = patience([k.mark for k in xs], [k.mark for k in ys])
-            return score + 2 * len(pairs), same + [(xs[i], ys[j]) for i, j in pairs]
-        below = [[align(p, q) if p.label == q.label else (0, []) for q in ys] for p in xs]
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i in range(len(xs)):
-            row, up, mine = best[i + 1], best[i], below[i]
-            for j in range(len(ys)):
-                row[j + 1] = max(row[j], up[j + 1], up[j] + mine[j][0])
-        i, j = len(xs), len(ys)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                same += below[i][j][1]
-        return score + best[-1][-1], same
+        node = todo.pop()
+        out.append(node)
+        todo += reversed(node.kids)
+    return out
 
-    import sys
 
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    score, same = align(a, b)
-    todo = list(same)
-    while todo:
-        x, y = todo.pop()
-        if x.text is not None:
-            x.keep = y.keep = True
-        todo += zip(x.kids, y.kids)
-    return score
+def judged(root: Node) -> list[Node]:
+    """The leaves in page order, with ``keep`` where no name speaks against them; elements without text are cut off.
+
+    The largest article or main element and what it stands in are never named away, nor a form, or an element whose names only
+    contain such a word, that holds half of the page's text. Where an article or main element has text, only such text is kept.
+    """
+    nodes = in_order(root)
+    for node in reversed(nodes):
+        node.size = len(node.text) if node.text is not None else sum(k.size for k in node.kids)
+        node.kids = [k for k in node.kids if k.size]
+    centres = [x for x in nodes if x.centre and x.level < 2 and x.size]
+    if centres:
+        main, at = max(centres, key=lambda x: x.size), root
+        todo, above = [root], {}
+        while todo:
+            at = todo.pop()
+            if at is main:
+                break
+            for k in at.kids:
+                above[id(k)] = at
+                todo.append(k)
+        while at is not None:
+            at.safe = True
+            at = above.get(id(at))
+    leaves: list[Node] = []
+    down: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while down:
+        node, dead, inside = down.pop()
+        safe = node.safe or 2 * node.size >= root.size and (node.level == 1 or node.tag in FORMS)
+        dead = dead or not safe and (node.level > 0 or node.head and not inside)
+        inside = inside or node.centre and not dead
+        node.keep, node.inside = not dead, inside and not dead
+        if node.text is not None:
+            leaves.append(node)
+        down += [(k, dead, inside) for k in reversed(node.kids)]
+    if any(x.inside for x in leaves):
+        for x in leaves:
+            x.keep = x.inside
+    return leaves
 
 
 def host(url: str | None) -> str:
@@ -248,109 +244,276 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def depth(node: Node) -> int:
-    deepest, todo = 0, [(node, 1)]
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text)
+
+
+def joined(path: int, value: int) -> int:
+    return xxhash.xxh64_intdigest(value.to_bytes(8, "little"), path)
+
+
+TREE = np.dtype([("depth", "<i4"), ("inside", "<i4"), ("label", "<u8"), ("value", "<u8")])
+PARSED = "page_id long, url string, host long, mark long, tree binary, blocks array<struct<node:long,inside:boolean,text:string>>"
+
+
+def tree_of(page: str) -> tuple[bytes, list[tuple[int, bool, str]]]:
+    """The page's tree by hashes, a row a node, and the blocks of text that names leave: the hash of the labels above and
+    of the text, whether within an article or main element, the text."""
+    root = parse(page)
+    leaves = judged(root)
+    rows, out = [], []
+    todo = [(root, 0, 0)]
     while todo:
-        x, d = todo.pop()
-        deepest = max(deepest, d)
-        todo += [(k, d + 1) for k in x.kids]
-    return deepest
+        node, depth, path = todo.pop()
+        leaf = node if node.text is not None else node.kids[0] if len(node.kids) == 1 and node.kids[0].tag == "#" else None
+        label = hashed(node.label)
+        path = joined(path, label)
+        if leaf is None:
+            rows.append((depth, 0, label, 0))
+            todo += [(k, depth + 1, path) for k in reversed(node.kids)]
+        else:
+            value = hashed(leaf.text) or 1
+            rows.append((depth, int(leaf.inside), label, value))
+            if leaf.keep:
+                out.append((joined(path, value), leaf.inside, leaf.text))
+    return (np.array(rows, TREE).tobytes() if leaves else b""), out
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    struct = pa.struct([("node", pa.int64()), ("inside", pa.bool_()), ("text", pa.string())])
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            trees = [tree_of(x or "") for x in part.column("html").to_pylist()]
+            hosts = pa.array([signed(hashed(host(u))) for u in part.column("url").to_pylist()], pa.int64())
+            marks = pa.array([signed(xxhash.xxh64_intdigest(t)) for t, _ in trees], pa.int64())
+            found = pa.array([[{"node": signed(k), "inside": i, "text": t} for k, i, t in b] for _, b in trees], pa.list_(struct))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), hosts, marks, pa.array([t for t, _ in trees], pa.binary()), found], ["page_id", "url", "host", "mark", "tree", "blocks"])
+
+
+class Slot:
+    """A node of a wrapper: what is at one place in the pages that have it."""
+
+    __slots__ = ("inside", "kids", "label", "most", "pages", "path", "seen", "values")
+
+    def __init__(self, label: int, path: int) -> None:
+        self.label, self.path, self.pages, self.most, self.inside = label, path, 0, 0, False
+        self.kids: list[Slot] = []
+        self.values: dict[int, list[int]] = {}  # of leaves: the pages that have this text here; ``most`` is the longest list
+        self.seen: set[int] = set()  # of other nodes: texts of the leaves right below
+
+    def leaf_weight(self) -> int:
+        """Of a match with a leaf of another text."""
+        return SHAPE_ONLY if self.kids else DISTURBED if self.most > 1 and self.most >= STEADY * self.pages else DIFFERENT
+
+
+class Tag:
+    """A node of a page, from its row."""
+
+    __slots__ = ("inside", "kids", "label", "value")
+
+    def __init__(self, inside: int, label: int, value: int) -> None:
+        self.inside, self.label, self.value = inside, label, value
+        self.kids: list[Tag] = []
 
 
-MOST_DEEP = 400  # levels that are aligned node by node; a deeper page is left to its own labels
-AT_A_TIME = 4000  # pages whose trees a task holds
+def grown(tree: bytes) -> tuple[Tag, int]:
+    """A page's tree from its rows, and its depth."""
+    above: list[Tag] = []
+    deepest = 0
+    for depth, inside, label, value in np.frombuffer(tree, TREE).tolist():
+        node = Tag(inside, label, value)
+        del above[depth:]
+        if above:
+            above[-1].kids.append(node)
+        above.append(node)
+        deepest = max(deepest, depth)
+    return above[0], deepest
 
 
-def constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host hash, node hash, pages): nodes constant between a host's pages that lie side by side, node 0 for all pages.
+def heaviest(n: int, m: int, row: Callable[[int], np.ndarray]) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs (i, j) of the heaviest matching in order, ``row(i)`` being the weights of i with each j; pairs of
+    weight 0 don't match. Long lists are halved where the best halves meet, so that memory stays linear."""
 
-    A host's pages in one partition are aligned one with the next. Pages of equal text count once there. A page alone
-    gives all its nodes: whether they are constant shows when the partitions' counts are summed.
+    def totals(rows: range, lo: int, hi: int, back: bool) -> np.ndarray:
+        best = np.zeros(hi - lo + 1, dtype=np.int64)
+        for i in rows:
+            w = row(i)[lo:hi]
+            w = w[::-1] if back else w
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + w))
+        return best
+
+    weight, pairs, todo = 0, [], [(0, n, 0, m)]
+    while todo:
+        a, b, lo, hi = todo.pop()
+        if a == b or lo == hi:
+            continue
+        if (b - a) * (hi - lo) > AT_ONCE and b - a > 1:
+            mid = (a + b) // 2
+            cut = lo + int(np.argmax(totals(range(a, mid), lo, hi, False) + totals(range(b - 1, mid - 1, -1), lo, hi, True)[::-1]))
+            todo += [(a, mid, lo, cut), (mid, b, cut, hi)]
+            continue
+        best, each = np.zeros((b - a + 1, hi - lo + 1), dtype=np.int64), []
+        for i in range(a, b):
+            each.append(row(i)[lo:hi])
+            best[i - a + 1, 1:] = np.maximum.accumulate(np.maximum(best[i - a, 1:], best[i - a, :-1] + each[-1]))
+        weight += int(best[-1, -1])
+        i, j = b - a, hi - lo
+        while i and j:
+            w = int(each[i - 1][j - 1])
+            if w and best[i, j] == best[i - 1, j - 1] + w:
+                i, j = i - 1, j - 1
+                pairs.append((a + i, lo + j))
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+    return weight, sorted(pairs)
+
+
+def tree_matching(slot: Slot, node: Tag, known: dict[tuple[int, int], tuple[int, list]]) -> int:
+    """Simple tree matching: weight of the heaviest matching that keeps labels, levels and order. ``known`` gets the pairs of
+    children of every two nodes that were compared."""
+    if slot.label != node.label:
+        return 0
+    if node.value:
+        return EQUAL if node.value in slot.values else slot.leaf_weight()
+    if not slot.kids:
+        return SHAPE_ONLY
+    at = (id(slot), id(node))
+    if at in known:
+        return known[at][0]
+    xs, ys = slot.kids, node.kids
+    if len(xs) == len(ys) == 1:
+        weight = tree_matching(xs[0], ys[0], known)
+        known[at] = DIFFERENT + weight, [(0, 0)] * bool(weight)
+        return DIFFERENT + weight
+    ours, theirs = np.array([x.label for x in xs], np.uint64), np.array([y.label for y in ys], np.uint64)
+    leaf, plain = np.array([y.value != 0 for y in ys]), np.array([x.leaf_weight() for x in xs])
+    where: dict[int, list[int]] = {}
+    for j, y in enumerate(ys):
+        if y.value in slot.seen:
+            where.setdefault(y.value, []).append(j)
+
+    def rows(lo: int, hi: int) -> np.ndarray:
+        """Weights of our children from lo on with all of theirs."""
+        same = ours[lo:hi, None] == theirs
+        out = np.where(same, np.where(leaf, plain[lo:hi, None], SHAPE_ONLY), 0)
+        for i in range(lo, hi) if where else ():
+            for v in xs[i].values.keys() & where.keys():
+                for j in where[v]:
+                    if same[i - lo, j]:
+                        out[i - lo, j] = EQUAL
+        inner = np.array([bool(x.kids) for x in xs[lo:hi]])
+        for i, j in np.argwhere(same & inner[:, None] & ~leaf).tolist():
+            out[i, j] = tree_matching(xs[lo + i], ys[j], known)
+        return out
+
+    if len(xs) * len(ys) <= AT_ONCE:
+        whole = rows(0, len(xs))
+        weight, pairs = heaviest(len(xs), len(ys), lambda i: whole[i])
+    else:
+        weight, pairs = heaviest(len(xs), len(ys), lambda i: rows(i, i + 1)[0])
+    known[at] = DIFFERENT + weight, pairs
+    return DIFFERENT + weight
+
+
+def merge(wrapper: Slot, page: Tag, number: int) -> None:
+    """Aligns a page with the wrapper; what the wrapper lacks becomes part of it."""
+    known: dict[tuple[int, int], tuple[int, list]] = {}
+    tree_matching(wrapper, page, known)
+    todo = [(wrapper, page)]
+    while todo:
+        slot, node = todo.pop()
+        slot.pages += 1
+        slot.inside = slot.inside or bool(node.inside)
+        if node.value:
+            mine = slot.values.setdefault(node.value, [])
+            mine.append(number)
+            slot.most = max(slot.most, len(mine))
+            continue
+        pairs = dict((j, i) for i, j in known.get((id(slot), id(node)), (0, []))[1])
+        kids, done = [], 0
+        for j, kid in enumerate(node.kids):
+            if j in pairs:
+                kids += slot.kids[done : pairs[j] + 1]
+                done = pairs[j] + 1
+                mine = slot.kids[pairs[j]]
+            else:
+                mine = Slot(kid.label, joined(slot.path, kid.label))
+                kids.append(mine)
+            if kid.value:
+                slot.seen.add(kid.value)
+            todo.append((mine, kid))
+        slot.kids = kids + slot.kids[done:]
+
+
+def constants(table: pa.Table) -> pa.Table:
+    """One group of a host's pages, in the order of their marks: (host, node, inside, n) for the nodes that are constant at
+    their place in the wrapper, n being the pages that have them there."""
+    table = table.sort_by("mark")
+    wrapper, held = None, {}
+    for number, tree in enumerate(table.column("tree").to_pylist()):
+        page, depth = grown(tree)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * depth + 2000))
+        wrapper = wrapper or Slot(page.label, joined(0, page.label))
+        merge(wrapper, page, number)
+    todo = [wrapper]
+    while todo:
+        slot = todo.pop()
+        todo += slot.kids
+        for value, pages in slot.values.items():
+            if len(pages) > 1 and len(pages) >= STEADY * slot.pages:
+                key = joined(slot.path, value)
+                inside, mine = held.get(key, (False, set()))
+                held[key] = inside or slot.inside, mine | set(pages)
+    columns = [[table.column("host")[0].as_py()] * len(held), np.array(list(held), np.uint64).astype(np.int64), [i for i, _ in held.values()], [len(p) for _, p in held.values()]]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], ["host", "node", "inside", "n"])
+
+
+def templates(table: DataFrame) -> DataFrame:
+    """(host, nodes): the nodes of a host that are template, from the distinct trees of its pages.
+
+    A host's trees are dealt by their hash into groups of about TOGETHER, each aligned with a wrapper of its own; votes of all groups
+    are summed. Groups don't depend on how the pages lie, and a large host is as many groups as it needs.
     """
-    for batch in batches:
-        pages = batch.select(["url", "html"]).to_pylist()
-        for lo in range(0, len(pages), AT_A_TIME):
-            by_host: dict[str, dict[int, tuple[Node, list]]] = {}
-            for row in pages[lo : lo + AT_A_TIME]:
-                root, centred = parse(row["html"] or "")
-                found = blocks(root, centred)
-                if found and depth(root) < MOST_DEEP:
-                    by_host.setdefault(host(row["url"]), {}).setdefault(mark(root), (root, found))
-            count: dict[tuple[int, int], int] = {}
-            for name, mine in by_host.items():
-                h = xxhash.xxh64_intdigest(name)
-                last = None
-                for root, _ in mine.values():
-                    if last is not None:
-                        tree_matching(last, root)
-                    last = root
-                count[h, 0] = len(mine)
-                for _, found in mine.values():
-                    for key in {k for k, node in found if node.keep or len(mine) == 1}:
-                        count[h, key] = count.get((h, key), 0) + 1
-            cols = [np.array([k[0] for k in count], np.uint64).astype(np.int64), np.array([k[1] for k in count], np.uint64).astype(np.int64), np.array(list(count.values()), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["host", "node", "n"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, node) of the nodes that are template: constant in at least LEAST_PAGES, and LEAST_SHARE, of a host's pages."""
-    seen = pages.select("url", "html").mapInArrow(constants, "host long, node long, n long").groupBy("host", "node").agg(F.sum("n").alias("n"))
-    whole = seen.where("node = 0").select("host", F.col("n").alias("pages"))
-    return seen.where(f"node <> 0 and n >= {LEAST_PAGES}").join(whole, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "node")
-
-
-def content(page: str | None, key: int, template: set[int]) -> str:
-    root, centred = parse(page or "")
-    return "\n".join(node.text for k, node in blocks(root, centred) if key ^ k not in template)
-
-
-def extracted(batch: pa.RecordBatch, template: set[int]) -> pa.RecordBatch:
-    texts = [content(page, xxhash.xxh64_intdigest(host(url)), template) for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
-    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    trees = table.where("octet_length(tree) > 0").select("host", "mark", "tree").dropDuplicates(["host", "mark"])
+    trees = materialise(trees, "trees")
+    sizes = materialise(trees.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES), "hosts")
+    dealt = trees.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("mark"), F.ceil(F.col("pages") / TOGETHER)))
+    dealt = dealt.select("host", "part", "mark", "tree").repartition(shuffle_partitions(table.sparkSession), "host", "part")
+    votes = dealt.groupBy("host", "part").applyInArrow(constants, "host long, node long, inside boolean, n long")
+    total = votes.groupBy("host", "node").agg(F.max("inside").alias("inside"), F.sum("n").alias("n")).join(sizes, "host")
+    share = F.when(F.col("inside"), LEAST_SHARE_INSIDE).otherwise(LEAST_SHARE)
+    return total.where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("node").alias("nodes"))
 
 
 def html_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (blocks in page order, joined by \\n) and n_chars, its code points.
 
-    The DOM is cut down to block elements and blocks of text; what tags or names mark as navigation, header, footer, aside,
-    form, advert, notice or comment goes, and where the page has an article or main element all outside it. Same-host
-    pages are aligned by simple tree matching; blocks that stay constant in at least half of a host's pages (three or more)
-    are template and go, varying slots are content. Character references are decoded; white space inside a block is one space.
+    The whole DOM, cut down to block elements and blocks of text, is aligned with those of the same host by simple tree
+    matching (see ``merge``, ``templates``). A text that stays the same at its place in the wrapper, in three distinct pages or more and a fifth of the host's
+    (two fifths within an article or main element), is template and goes; varying slots are content. What alignment can't
+    decide, slots that vary, names do: navigation, headers, footers, asides, forms, adverts, notices and comments go, and where the
+    page has an article or main element all outside it (see ``judged``). Pages whose trees are equal count once; where
+    template nodes would take more than half of the text in a page's article, pages are copies of one another and it stays.
 
     Null html is empty, as is a page without text. A null url is a host of its own. Broken markup, unclosed tags or
-    comments and rows that repeat do no harm. Pages deeper than MOST_DEEP levels aren't aligned. Empty in, empty out;
-    other columns aren't looked at.
+    comments, any depth and rows that repeat do no harm. The result doesn't depend on how rows are dealt. Empty in, empty
+    out; other columns aren't looked at.
     """
     pages = with_columns(pages, page_id="long", url="string", html="string")
-    types = "page_id long, url string, text string, n_chars long"
-    found = templates(pages).limit(BROADCAST_KEYS + 1)
-    rows = found.select((F.col("host").bitwiseXOR(F.col("node"))).alias("k")).collect()
-    if len(rows) <= BROADCAST_KEYS:
-        shared = pages.sparkSession.sparkContext.broadcast(np.array([r[0] for r in rows], np.int64).astype(np.uint64))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            template = set(shared.value.tolist())
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    yield extracted(batch.slice(lo, 500), template)
-
-        return pages.mapInArrow(run, types)
-    return html_text_by_join(pages, types)
-
-
-def html_text_by_join(pages: DataFrame, types: str) -> DataFrame:
-    """The same where templates are too many to send to every task: each page gets its host's by a join."""
-    import pandas as pd
-
-    host_key = F.pandas_udf(lambda url: pd.Series([xxhash.xxh64_intdigest(host(u)) for u in url], dtype="uint64").astype("int64"), "long")
-    by_host = templates(pages).groupBy("host").agg(F.collect_set(F.col("host").bitwiseXOR(F.col("node"))).alias("keys"))
-    joined = pages.withColumn("host", host_key("url")).join(by_host, "host", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                keys = one.column("keys")[0].as_py() or ()
-                yield extracted(one, {x % (1 << 64) for x in keys})
-
-    return joined.mapInArrow(run, types)
+    table = materialise(pages.mapInArrow(parsed, PARSED), "pages")
+    found = materialise(templates(table), "templates")
+    joined_rows = table.select("page_id", "url", "host", "blocks").join(found, "host", "left")
+
+    def chars(keep) -> Column:
+        return F.aggregate(F.filter("blocks", keep), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+
+    cut = lambda b: F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False))
+    copies = 2 * chars(lambda b: b["inside"] & cut(b)) > chars(lambda b: b["inside"])
+    rows = joined_rows.withColumn("copies", F.when(F.col("nodes").isNull(), False).otherwise(copies))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: ~cut(b) | (b["inside"] & F.col("copies"))), lambda b: b["text"]), "\n")
+    rows = rows.select("page_id", "url", F.when(F.col("nodes").isNull(), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")).otherwise(text).alias("text"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

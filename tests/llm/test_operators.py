@@ -352,8 +352,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x="<p>no</p>"</
 
 
 def test_html_text(spark):
-    from tessera.llm.html_text import html_text, html_text_by_join
-    from tessera.llm.store import with_columns
+    from tessera.llm.html_text import html_text
 
     rows = [(k, f"http://h.example.com/{k}", PAGE.format(ad="Subscribe to us", title=f"Title {k}", one=f"first  {k}", two=f"text &lt;{k}&gt;")) for k in range(8)]
     rows += [(20, None, None), (21, "x", ""), (22, "http://b", "plain < text"), (23, "http://c", "<p>a<!-- open"), (24, "http://d", "<div>" * 3000 + "deep")]
@@ -362,11 +361,107 @@ def test_html_text(spark):
     for k in range(8):
         assert got[k].text == f"Title {k}\nfirst {k} more & more\ntext <{k}>" and got[k].n_chars == len(got[k].text)
     assert [got[k].text for k in range(20, 25)] == ["", "", "plain < text", "a", "deep"]
-    joined = html_text_by_join(with_columns(d, page_id="long", url="string", html="string"), "page_id long, url string, text string, n_chars long")
-    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, got.values()), key=str)
     assert html_text(d.limit(0)).count() == 0
 
 
+def test_html_articles_survive_class_words():
+    from tessera.llm.html_text import tree_of
+
+    text = lambda page: "\n".join(t for _, _, t in tree_of(page)[1])
+    body = "<h1>Head</h1><p>Whole article of several words</p>"
+    for page in (
+        f'<div class="content no-sidebar">{body}</div>',
+        f'<div id="page" class="site has-sidebar"><article>{body}</article></div>',
+        f'<article class="post category-social tag-search">{body}</article>',
+        f'<form id="all">{body}</form>',
+        f'<div class="comments-open">{body}</div><nav>menu</nav>',
+        f'<aside><div><main>{body}</main></div></aside>',
+    ):
+        assert text(page) == "Head\nWhole article of several words", page
+    assert text(f'<article>{body}</article><div id="comments"><article class="comment">{body * 3}</article></div>') == "Head\nWhole article of several words"
+    assert text(f'<div>{body}</div><div class="comments">{body * 3}</div>') == "Head\nWhole article of several words"
+    assert text(f'{body}<form>mail</form><span class="ad">x</span><div class="ad-slot">y</div><p hidden>z</p>') == "Head\nWhole article of several words"
+
+
+def test_wrapper_induction_without_names(spark, monkeypatch):
+    from tessera.llm import html_text as H
+
+    for name in ("CHROME", "CHROME_TAGS", "HEADS", "CENTRES", "FORMS"):
+        monkeypatch.setattr(H, name, frozenset())
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for h, n in enumerate([40, 200, 5, 2, 1]):
+        menu, foot, advert, notice = line(3), line(6), line(5), line(8)
+        other, mine = line(4), []
+        for k in range(n):
+            paragraphs = [line(rng.randint(2, 9)) for _ in range(rng.randint(1, 7))]
+            chosen = k % 2 == 0  # a notice within every second article, and an advert under every third page
+            held = paragraphs[:1] + ([notice] if chosen else []) + paragraphs[1:]
+            page = f"<ul><li><a>{menu}</a><li>{other}</ul><div><h2>{paragraphs[0]}</h2>" + "".join(f"<p>{x}</p>" for x in held) + "</div>" + (f"<table><tr><td>{advert}</td></tr></table>" if k % 3 == 0 else "") + f"<div>{foot}</div>"
+            mine.append((f"http://h{h}.org/{k}", page))
+            template = {menu, other, foot, notice} | ({advert} if n > 9 else set()) if n > 2 else set()
+            if n == 5:
+                template -= {advert}
+            want[len(rows)] = [x for x in re.sub(r"<[^>]*>", "\n", page).split("\n") if x and x not in template]
+            rows.append((len(rows), *mine[-1]))
+        for _ in range(3 if n == 200 else 0):  # copies of a page don't make what it holds template
+            want[len(rows)] = want[len(rows) - n]
+            rows.append((len(rows), *mine[0]))
+            n += 1
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(map(tuple, H.html_text(d.repartition(k)).collect())) for k in (1, 50)]
+    assert got[0] == got[1]
+    texts = {r[0]: r[2].split("\n") for r in got[0]}
+    wrong = {k: (texts[k], w) for k, w in want.items() if texts[k] != w}
+    assert not wrong, list(wrong.items())[:2]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    from tessera.llm.html_text import html_text
+
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    body = [line() for _ in range(6)]
+    pages = [f"<nav>n</nav><article>{''.join(f'<p>{x}</p>' for x in [*body[:5], line()])}</article>" for _ in range(4)] + [f"<article><p>{line()}</p></article>" for _ in range(2)]
+    rows = [(k, "http://h/", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text.split("\n") for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k][:5] == body[:5] and len(got[k]) == 6 for k in range(4))
+
+
+def test_heaviest_matching_agrees_with_recursion(monkeypatch):
+    import numpy as np
+
+    from tessera.llm import html_text as H
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n, m = rng.integers(0, 9, size=2)
+        w = rng.integers(0, 4, size=(n, m)) * (rng.random((n, m)) < 0.6)
+        best = np.zeros((n + 1, m + 1), dtype=int)
+        for i in range(n):
+            for j in range(m):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + w[i, j])
+        for most in (1 << 20, 6, 1):
+            monkeypatch.setattr(H, "AT_ONCE", most)
+            weight, pairs = H.heaviest(n, m, lambda i: w[i])
+            assert weight == best[n, m] == sum(w[i, j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:])) and all(w[i, j] for i, j in pairs)
+
+
+def test_long_and_deep_pages(spark):
+    from tessera.llm.html_text import html_text
+
+    long = lambda k: "<ul>" + "".join(f"<li>row {j} of {k if j % 9 else 0}</li>" for j in range(3000)) + "</ul><p>same</p>"
+    deep = lambda k: "".join(f"<div>level {j} of {k}" for j in range(2500)) + "<p>same</p>"
+    rows = [(k, "http://long/", long(k)) for k in range(1, 5)] + [(10 + k, "http://deep/", deep(k)) for k in range(1, 5)]
+    got = {r.page_id: r.text.split("\n") for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1, 5):
+        assert got[k] == [f"row {j} of {k}" for j in range(3000) if j % 9]
+        assert got[10 + k] == [f"level {j} of {k}" for j in range(2500)]
+
+
 def test_components(spark):
     from tessera.llm.graph import components
 
