@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and
+    driver and executors are one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -31,6 +34,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores where a small input has fewer; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shards_for(df: DataFrame, column: str, bytes_each: int = 24 << 20) -> int:
     """Partitions that hold about ``bytes_each`` of ``column``, and no fewer than spark.sql.shuffle.partitions."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -292,6 +292,47 @@ def test_contexts_need_few_seeds(spark):
     assert got[400] == "" and got[600] == "" and got[300] == ""
 
 
+def test_contexts_of_any_length_and_dense_lines(spark):
+    from tessera.llm.pii import personal_data
+
+    long, word = "x" * 50 + "[at]" + "y" * 60 + ".org", "w" * 90
+    rows = [(k, f"write mail q{k}@site{k}.org") for k in range(30)] + [(100, "write mail jo[at]ex.org"), (101, f"write mail {long}."), (102, "about jo[at]ex.org")]
+    rows += [(200 + k, f"{word} +1 (212) 555-{k:04d}") for k in range(6)] + [(300, f"see {word} (212) 555-7777"), (301, f"v{word} (212) 555-7777")]
+    rows += [(400 + k, f"phone +1 (212) 556-{k:04d}, ok") for k in range(20)]
+    rows += [(500, "phone (212) 555-7777 a@b.com"), (501, "phone 555 123 4567 2024-05-01 10:30"), (502, "phone 12 now")]
+    rows += [(600 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}" here') for k in range(6)] + [(700, 'token = "opaque-value-1234" here'), (701, 'word "opaque-value-1234" there')]
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "email:11:23" and got[101].spans == f"email:11:{11 + len(long)}" and got[102].spans == ""
+    assert got[300].spans == f"phone:{5 + len(word)}:{19 + len(word)}" and got[301].spans == ""
+    assert got[500].spans == "phone:6:20,email:21:28" and got[501].spans == "phone:6:18" and got[502].spans == ""
+    assert got[600].secrets == "9:49" and got[700].secrets == "9:26" and got[701].secrets == "" and got[700].n_spans == 1 and got[600].spans == ""
+
+
+def test_personal_data_against_brute_force(spark):
+    from tessera.llm.pii import personal_data
+
+    rng = random.Random(6)
+    parts = ["a@b.co", "x.y+z@m-1.example.com", "1.2.3.4", "1.2.3.400", "256.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (212) 555-0000", "+12", "é", "日本", "\n", " ", " ", ",", "9", "@", "word", "1-2-3", "...", "x" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["mail a@b.co " * 20_000 + "end"]
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    def brute(t):
+        out = []
+        patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+        for o, p in enumerate(patterns):
+            for m in re.finditer(p, t):
+                d = re.sub("[^0-9]", "", m[0])
+                ok = [True, all(int(x) <= 255 for x in m[0].split(".")) if o == 1 else True, 14 <= len(d) <= 19 and luhn(d), 10 <= len(d) <= 15][o]
+                if ok:
+                    out.append((m.start(), o, m.end()))
+        return ",".join(f"{('email', 'ip', 'card', 'phone')[o]}:{s}:{e}" for s, o, e in sorted(out))
+
+    got = {r.doc_id: r.base_sha256 for r in personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: hashlib.sha256(brute(t).encode()).hexdigest() for k, t in enumerate(texts)}
+
+
 def test_language_model(docs, none, spark):
     from tessera.llm.lm import lm_scores
 
