@@ -41,6 +41,7 @@ SECRET_SEED = r"^(?:(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})|(?=
 MOST_WORDS = 19  # of digits that make an identifier: no form has more digits
 EDGES = "\"'`,;:!?()[]{}<>."
 SPACE = r"\x20\x09-\x0D"
+STRETCH = 256  # code points
 NEAR = 64  # code points beside a find that usually hold its neighbouring words; where they don't, the whole text between is read
 LEAST_CONFIDENCE, LEAST_SEEDS, ROUNDS = 0.9, 3, 3
 DOUBT = 0.25  # contrary instances that any pattern is taken to have: LEAST_SEEDS reach LEAST_CONFIDENCE, fewer don't
@@ -176,6 +177,15 @@ def state(kind: str, v: Column) -> Column:
     return F.lit(0.0)
 
 
+def touched(found: DataFrame) -> DataFrame:
+    """key, s, e, cut: runs that base matches touch, and these. Both meet by stretches of the text, so a text may hold many."""
+    at = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / STRETCH), F.floor((F.col(e) - 1) / STRETCH)))
+    runs = found.select("key", F.explode("runs").alias("x")).select("key", "x.s", "x.e").withColumn("stretch", at("s", "e"))
+    base = found.select("key", F.explode("base").alias("x")).select("key", F.col("x.s").alias("b"), F.col("x.e").alias("d")).withColumn("stretch", at("b", "d"))
+    both = runs.join(base, ["key", "stretch"]).where("b < e and s < d")
+    return both.groupBy("key", "s", "e").agg(F.collect_set(F.struct(F.col("b").alias("s"), F.col("d").alias("e"))).alias("cut"))
+
+
 def learnt_spans(found: DataFrame) -> DataFrame:
     """key, more: spans that contexts of known finds disclose.
 
@@ -193,7 +203,8 @@ def learnt_spans(found: DataFrame) -> DataFrame:
     places = ("key", "run", "s", "e", "v", "l1", "l2", "r1", "pre", "suf")
     own = F.array(*[F.struct(F.lit(o).alias("o"), F.when(F.col("x.o") == o, 1.0).otherwise(-1.0).alias("seed")) for o in range(len(kinds))])
     known = found.select("key", F.explode("base").alias("x")).select("key", F.col("x.s").alias("run"), "x.s", "x.e", "x.v", "x.l1", "x.l2", "x.r1", F.lit(True).alias("pre"), F.lit(True).alias("suf"), F.explode(own).alias("k")).select(*places, "k.*")
-    runs = found.select("key", "base", F.explode("runs").alias("x")).select("key", F.col("x").alias("x"), free_parts(F.col("x"), F.col("base")).alias("parts"))
+    runs = found.select("key", F.explode("runs").alias("x")).select("key", "x", "x.s", "x.e").join(touched(found), ["key", "s", "e"], "left")
+    runs = runs.select("key", "x", free_parts(F.col("x"), F.coalesce("cut", F.array().cast("array<struct<s:int,e:int>>"))).alias("parts"))
 
     def instances(o: int, kind: str) -> Column:
         fits = F.filter("parts", lambda p: p["v"].rlike(LOOSE[kind]))
