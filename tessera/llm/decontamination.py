@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .store import with_columns
 from .textkit import LOWER, chunks, hash_spans, ngrams, raw, spans
 
-LEAST_WORDS = 3  # words of an item that is looked for
+LEAST_WORDS = 3  # an item of fewer words must be there whole, and is no passage that a document goes for
 LEAST_SCORE = 0.5  # of the score that the whole item aligned with itself has
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 8 << 20  # bytes of benchmark text that tasks hold at a time; more is done block by block
@@ -63,14 +63,15 @@ class Items:
         whole. For any number k: if m > k, any n - k words of the item have one that matches; if not, any n - s + k + 1
         pairs have one that is whole. Each item takes the k whose seeds are fewest in the documents.
         """
-        self.need = np.ceil(least * MATCH * np.diff(self.first) - 1e-9).astype(np.int64)
+        size = np.diff(self.first)
+        self.need = np.where(size < LEAST_WORDS, MATCH * size, np.ceil(least * MATCH * size - 1e-9)).astype(np.int64)
         self.fewest = np.maximum(1, -(-self.need // MATCH))
         self.vocabulary, self.word = np.unique(self.words, return_inverse=True)
         n_word, n_pair = count[np.searchsorted(self.keys, self.words)], count[np.searchsorted(self.keys, self.pairs)]
         cut, gram, item, place = np.searchsorted(self.pair_at, self.first), [], [], []
         for k, (lo, hi, p, q) in enumerate(zip(self.first, self.first[1:], cut, cut[1:])):
             n, s = int(hi - lo), int(self.need[k])
-            if n < LEAST_WORDS:
+            if not n:
                 continue
             words, pairs = np.argsort(n_word[lo:hi], kind="stable"), np.argsort(n_pair[p:q], kind="stable")
             few = int(self.fewest[k])
@@ -110,25 +111,25 @@ class Finder:
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment of item a in passage b: score, first and last+1 word of b in it, words that match."""
-    step = np.arange(len(b) + 1) * -GAP
-    rows = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
-    for i in range(1, len(a) + 1):
-        before = rows[i - 1]
-        best = np.maximum(0, before + GAP)
-        best[1:] = np.maximum(best[1:], before[:-1] + np.where(b == a[i - 1], MATCH, MISMATCH))
-        rows[i] = np.maximum.accumulate(best + step) - step
-    i, j = np.unravel_index(int(rows.argmax()), rows.shape)
-    score, end, same = int(rows[i, j]), int(j), 0
-    while i and j and rows[i, j]:
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH):
-            same += int(a[i - 1] == b[j - 1])
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end, same
+    """Best local alignment of item a in passage b: score, first and last+1 word of b in it, words that match.
+
+    A cell holds score, start and matches in one number, so that one row is enough: of alignments of one score the one that starts
+    latest, then that of most matches, and the first end that reaches the best score.
+    """
+    start_at = len(a).bit_length()
+    score_at = start_at + (len(b) + 1).bit_length()
+    kind = np.int64 if score_at + (MATCH * len(a)).bit_length() < 63 else object
+    columns = np.arange(len(b) + 1).astype(kind)
+    step, fresh = columns * (-GAP << score_at), columns * (1 << start_at)  # fresh: an alignment that begins with the next word
+    before, top, end = fresh, 0, 0
+    for x in a:
+        best = np.maximum(fresh, before + (GAP << score_at))
+        best[1:] = np.maximum(best[1:], before[:-1] + np.where(b == x, (MATCH << score_at) + 1, MISMATCH << score_at).astype(kind))
+        before = np.maximum.accumulate(best + step) - step
+        at = int(before.argmax())
+        if int(before[at]) >> score_at > top >> score_at:
+            top, end = int(before[at]), at
+    return top >> score_at, (top >> start_at) & ((1 << (score_at - start_at)) - 1), end, top & ((1 << start_at) - 1)
 
 
 def scores(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
@@ -217,10 +218,12 @@ def matches(offsets: np.ndarray, data: np.ndarray, items: Items, finder: Finder,
                 yield lo + r, k, best[0], -best[1], best[2], best[3]
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, least_words: int = 1) -> Iterator[Items]:
+    """The items, some BLOCK bytes at a time, without the words of those that have fewer than ``least_words``."""
     rows, size = [], 0
     for item, text in with_columns(benchmark, item_id="long", text="string").toLocalIterator():
-        rows.append((item, text))
+        few = least_words > 1 and len(plain_words(*folded(pa.array([text or ""], pa.large_string())))[0]) < least_words
+        rows.append((item, "" if few else text))
         size += len((text or "").encode())
         if size > BLOCK:
             yield Items(rows)
@@ -256,7 +259,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
     listed. first_word and end_word: its place among the document's words, n_same: words that match. Case and
     punctuation don't count. Seeds are an item's rarest words and pairs of words, so many that no passage of score
     ``least`` is without (see ``Items.seeded``). Tasks hold ``BLOCK`` bytes of items at a time, and their texts stay where
-    they are. A null or empty text has no passage; an item of fewer than three words, or a null one, isn't looked for. A null doc_id is given as such. Repeated
+    they are. A null or empty text has no passage; an item of one or two words is found where they stand unchanged, a null item or one
+    without words never. A null doc_id is given as such. Repeated
     documents and items give repeated rows. Empty tables give an empty result.
     """
     docs = with_columns(docs, doc_id="long", text="string")
@@ -280,10 +284,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` that hold no item's passage (see ``contamination``), with their columns; nothing is shuffled."""
-    names = docs.columns
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(seeded(docs.select(F.col("text").cast("string").alias("text")), items, least))
+    """The rows of ``docs`` that hold no item's passage (see ``contamination``), with their columns; nothing is shuffled.
+
+    Items of one or two words are no passages: they would take clean documents along.
+    """
+    names, texts = docs.columns, docs.select(F.col("text").cast("string").alias("text"))
+    for items in blocks(benchmark, LEAST_WORDS):
+        shared = docs.sparkSession.sparkContext.broadcast(seeded(texts, items, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value

@@ -7,10 +7,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import free_name, materialise
 
 LEAST_WORDS = 5  # words that an aligned block must have to be deleted
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -122,67 +122,70 @@ def doomed(mine: list[int], other: list[int], words: list[int], least: int) -> l
 
 
 def run_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct runs, as hashes."""
+    """Each document's distinct runs, as hashes of their lines' other hashes."""
     for batch in batches:
         rows: list[tuple[int, int, int]] = []
-        for doc, key, lines, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "lines", "words"))):
+        for doc, key, lines, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "others", "words"))):
             rows += [(doc, key, run) for run in {lines[i] if i == j else hash(tuple(lines[i : j + 1])) for i, j in runs(words, least)}]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 3)], ["doc_id", "key", "run"])
 
 
 def aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, lines = [], []
-        for key, mine, words, other in zip(*(batch.column(c).to_pylist() for c in ("key", "lines", "words", "earlier"))):
+        ids, keys, lines = [], [], []
+        for doc, key, mine, words, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "lines", "words", "earlier"))):
             if cut := doomed(mine, other, words, least):
+                ids.append(doc)
                 keys.append(key)
                 lines.append(cut)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], ["key", "cut"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], ["doc_id", "key", "cut"])
+
+
+def text_key() -> Column:
+    """A document is known by doc_id and this hash of its text, as rows may repeat a doc_id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """key (a hash of doc_id and text), cut: the lines of each document, from 0, that an earlier document also has.
+    """doc_id, key (see ``text_key``), cut: the lines of each document, from 0, that an earlier document also has.
 
-    Documents meet by runs of neighbouring lines, the shortest that have ``least`` words. A run's owner is the document of
+    Documents meet by rare lines they share. A line of fewer than ``least`` words is seldom rare, so it is taken together with its
+    neighbours, the fewest that make a run of ``least`` words. A run's owner is the document of
     smallest doc_id that has it; a document is aligned with each earlier one that owns one of its runs, by hashes of the
     lines without white space at their ends. A block with so many words is made of runs, and each run's owner holds it
     whole: so no block is lost, whatever order blocks stand in. Pairs are as many as the runs that repeat, at most,
-    however often one does, and no frequency is left out. Only line hashes travel, not texts.
+    however often one does, and no frequency is left out. Only line hashes travel, not texts: 64 bits by which documents meet and
+    64 others by which lines are equal, so that a line goes by mistake only where both collide.
     """
-    body = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    body = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     bare = F.transform(body, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    table = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"),
-        F.transform(bare, lambda x: F.xxhash64(x)).alias("lines"),
-        F.transform(body, lambda x: F.regexp_count(x, F.lit(WORDS))).alias("words"),
-    )
-    table = materialise(table.dropDuplicates(["key"]), "lines")
-    each = table.select("doc_id", "key", "lines", "words").mapInArrow(lambda b: run_rows(b, least), "doc_id long, key long, run long")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), bare.alias("bare"), F.transform(body, lambda x: F.regexp_count(x, F.lit(WORDS))).alias("words"))
+    table = rows.select("doc_id", "key", F.transform("bare", lambda x: F.xxhash64(x)).alias("lines"), F.transform("bare", lambda x: F.xxhash64(F.lit("other"), x)).alias("others"), "words")
+    table = materialise(table.dropDuplicates(["doc_id", "key"]), "lines")
+    each = table.select("doc_id", "key", "others", "words").mapInArrow(lambda b: run_rows(b, least), "doc_id long, key long, run long")
     owners = each.groupBy("run").agg(F.min(F.struct("doc_id", "key")).alias("owner"), F.max("doc_id").alias("last")).where("owner.doc_id < last").select("run", F.col("owner.doc_id").alias("first"), F.col("owner.key").alias("owner"))
-    pairs = each.join(owners, "run").where("first < doc_id").select("key", "owner").distinct()
-    both = pairs.join(table.select("key", "lines", "words"), "key").join(table.select(F.col("key").alias("owner"), F.col("lines").alias("earlier")), "owner")
-    found = both.select("key", "lines", "words", "earlier").mapInArrow(lambda b: aligned(b, least), "key long, cut array<int>")
-    return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
+    pairs = each.join(owners, "run").where("first < doc_id").select("doc_id", "key", "first", "owner").distinct()
+    both = pairs.join(table.select("doc_id", "key", "lines", "words"), ["doc_id", "key"]).join(table.select(F.col("doc_id").alias("first"), F.col("key").alias("owner"), F.col("lines").alias("earlier")), ["first", "owner"])
+    found = both.select("doc_id", "key", "lines", "words", "earlier").mapInArrow(lambda b: aligned(b, least), "doc_id long, key long, cut array<int>")
+    return found.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Every row of ``docs``, its text without the lines that an earlier document has too, and ``n_removed``, how many.
+def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, name: str = "n_removed") -> DataFrame:
+    """Every row of ``docs``, its text without the lines that an earlier document has too, and ``name``, how many.
 
     See ``repeated_lines``. Of documents that share lines the one of smallest doc_id keeps them. Deleted are whole
     blocks of lines, aligned one after the other in both documents, of ``least`` words or more in all; shorter ones are
     chance. Lines left stay as they are, joined by \\n; a text without such lines stays the same, null stays null. A
     null doc_id has no order: its row is neither changed nor compared. Rows that repeat a doc_id don't
-    delete from one another. Two rows alike in doc_id and text change alike. Columns named n_removed are replaced.
+    delete from one another. Two rows alike in doc_id and text change alike. A column called ``name`` is replaced, all others stay.
+    Empty in, empty out.
     """
-    cuts = repeated_lines(docs, least).withColumnRenamed("key", "_cut_key")
-    keyed = docs.drop("n_removed").withColumn("_cut_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text")))
-    joined = keyed.join(cuts, "_cut_key", "left")
-    gone = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("cut"))
-    left = F.array_join(F.transform(gone, lambda k: F.get("_lines", k)), "\n")
-    return (
-        joined.withColumn("_lines", F.split("text", "\n", -1))
-        .withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left))
-        .withColumn("n_removed", F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")))
-        .drop("_lines", "_cut_key", "cut")
-    )
+    docs = docs.drop(name)
+    owner, key, cut, lines = (free_name(docs, x) for x in ("owner_id", "text_key", "cut_lines", "text_lines"))
+    cuts = repeated_lines(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias(owner), F.col("key").alias(key), F.col("cut").alias(cut))
+    keyed = docs.withColumns({owner: F.col("doc_id").cast("long"), key: F.when(F.col("doc_id").isNotNull(), text_key())})
+    joined = keyed.join(cuts, [owner, key], "left").withColumn(lines, F.split("text", "\n", -1))
+    gone = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+    left = F.array_join(F.transform(gone, lambda k: F.get(lines, k)), "\n")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).alias(name))

@@ -8,13 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import with_columns
+from .store import free_name, with_columns
 from .textkit import LOWER, chunks, hash_spans, ngrams, raw, series, spans
 
-BITS = 18
+BITS = 20
 #: Labelled rows that training reads at most, those first by a hash of their ids: its one sequential task has this bound.
 MOST_ROWS = 12_000
+WORD_RUNS = (2, 3)  # words of a hashed n-gram beside single words
+SHAPE_RUNS = (1, 2, 3)
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.3, 1.0, 0.02, 0.2, 4.0
 THRESHOLD = 0.3
 
@@ -27,7 +30,7 @@ ECHO = series(8, 31_337)
 def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slot and row of each n-gram of a chunk, and the words of each row.
 
-    The n-grams are words, runs of one to three word shapes (the classes of a word's characters, runs as one), and for
+    The n-grams are words and runs of two and three words, runs of one to three word shapes (the classes of a word's characters, runs as one), and for
     three words in a row which of them are the same. A vocabulary is open, shapes and such echoes are few, so what they
     say carries over to words that training never saw.
     """
@@ -43,11 +46,15 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.cumsum(keep, out=place[1:])
     form = hash_spans(shape[keep], place[starts], place[ends], SHAPE_VALUE)
     grams, owner = [word], [row]
-    for n in (1, 2, 3):
+    for n in WORD_RUNS:
+        value, at = ngrams(word, row, n)
+        grams.append(value)
+        owner.append(row[at])
+    for n in SHAPE_RUNS:
         value, at = ngrams(form, row, n)
         grams.append(value + np.uint64(n))
         owner.append(row[at])
-    if len(word) > 2:  # which of three words in a row are the same
+    if len(word) > 2 and SHAPE_RUNS:  # which of three words in a row are the same
         same = (word[1:-1] == word[:-2]) * 1 + (word[2:] == word[1:-1]) * 2 + (word[2:] == word[:-2]) * 4
         at = np.flatnonzero((row[2:] == row[:-2]) & (same > 0))
         grams.append(ECHO[same[at]])
@@ -105,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(MOST_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("turn", "label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # MOST_ROWS ids.select("turn", "label", "text")
     sparse = rows.mapInArrow(vectors, "turn long, label int, slots binary, counts binary")
-    found = sparse.repartition(1).mapInArrow(train, "slot long, weight double").collect()
-    weights, bias = np.zeros(1 << BITS), 0.0
+    found = sparse.orderBy("turn", "label", "slots").limit(MOST_ROWS).mapInArrow(train, "slot long, weight double").collect()
+    weights, bias = np.zeros(1 << BITS, np.float32), 0.0
     for slot, weight in found:
         if slot < 0:
             bias = weight
@@ -128,29 +135,28 @@ def scorer(weights: np.ndarray, bias: float) -> Callable[[np.ndarray, np.ndarray
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every column of ``docs`` and ``score``: how likely label 1 is, from 0 to 1, by a sparse dot product with the whole text.
+def quality_scores(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """Every column of ``docs`` and ``name``: how likely label 1 is, from 0 to 1, by a sparse dot product with the whole text.
 
     Training takes one label for a doc_id (the larger of several), never those held out (see ``held_out``; a null
     doc_id isn't), nor labels other than 0 and 1. A null or empty text has the score of the bias; without labels all
-    scores are 0.5. Repeated rows score alike. A column of ``docs`` named score is replaced. Empty in, empty out.
+    scores are 0.5. Repeated rows score alike. A column of ``docs`` named ``name`` is replaced. Empty in, empty out.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(with_columns(docs, doc_id="long", text="string"), labels))  # BITS fixes its size
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model.value)
-        at = [k for k, name in enumerate(names) if name == "text"][0]
+        at = names.index("text")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(*raw(batch.column(at))), pa.float64())], [*names, "score"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(*raw(batch.column(at))), pa.float64())], [*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def passing(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with their columns."""
-    return quality_scores(docs, labels).where(F.col("score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` whose score reaches the threshold, with their columns, one named score included. See ``quality_scores``."""
+    name = free_name(docs, "score")
+    return quality_scores(docs, labels, name).where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,3 +49,11 @@ def shards_for(df: DataFrame, column: str, bytes_each: int = 24 << 20) -> int:
 def with_columns(df: DataFrame, **defaults: str) -> DataFrame:
     """Project exactly the named columns, cast to the given types; what else the table holds can't clash."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in defaults.items()])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

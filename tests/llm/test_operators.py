@@ -258,6 +258,63 @@ def test_decontamination_loses_no_passage(spark):
         assert least != 0.5 or {(0, 0), (1, 1), (2, 2), (3, 3), (4, 5)} <= set(want)
 
 
+def test_smith_waterman_in_two_rows():
+    import numpy as np
+
+    from tessera.llm import decontamination as D
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (rng.integers(0, 4, size=rng.integers(1, 12)) for _ in range(2))
+        rows = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                rows[i + 1, j + 1] = max(0, rows[i, j] + (2 if a[i] == b[j] else -1), rows[i, j + 1] - 1, rows[i + 1, j] - 1)
+        score, start, end, same = D.smith_waterman(a, b)
+        assert score == rows.max()
+        if score:  # the passage alone has the score
+            assert start < end <= len(b) and D.smith_waterman(a, b[start:end])[0] == score and b[start] in a and b[end - 1] in a
+            assert (score + 1) // 2 <= same <= min(len(a), end - start)
+
+
+def test_long_and_short_items(spark):
+    from tessera.llm.decontamination import contamination, uncontaminated
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    long = [word() for _ in range(5000)]
+    rows = [(1, " ".join(word() for _ in range(50)) + " " + " ".join(w if k % 7 else word() for k, w in enumerate(long))), (2, "some two words here"), (3, "two some words"), (4, " ".join(long[:1000])), (5, "Alone, it stands")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(long)), (2, "two words"), (3, "alone"), (4, " \n")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contamination(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 2), (5, 3)} and got[2, 2] == 1.0 and got[1, 1] > 0.7
+    assert [r.doc_id for r in uncontaminated(d, b).orderBy("doc_id").collect()] == [2, 3, 4, 5]
+
+
+def test_columns_that_clash_stay(spark):
+    from tessera.llm.decontamination import uncontaminated
+    from tessera.llm.line_dedup import line_dedup
+    from tessera.llm.quality import passing
+
+    names = ["cut", "_lines", "_cut_key", "score", "text_key", "cut_lines", "text_lines", "owner_id", "_score", "key", "first", "owner", "lines", "words", "earlier", "turn", "label", "n"]
+    rows = [(k, "the same five words here\n" + f"own line of {k}", *range(k, k + len(names))) for k in range(4)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = sorted(map(tuple, line_dedup(d).collect()))
+    assert [r[2:-1] for r in got] == [r[2:] for r in rows] and [r[-1] for r in got] == [0, 1, 1, 1]
+    labels = spark.createDataFrame([(k, 1) for k in range(4)], "doc_id long, quality int")
+    assert sorted(map(tuple, passing(d, labels).collect())) == rows
+    assert sorted(map(tuple, uncontaminated(d, spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")).collect())) == rows
+
+
+def test_line_dedup_with_earlier_documents_between(spark):
+    from tessera.llm.line_dedup import line_dedup
+
+    parts = ["a1 b c d e", "f g h", "i j"], ["k l m", "n o", "p q"]
+    rows = [(1, "\n".join(parts[0])), (2, "\n".join(parts[1])), (3, "\n".join([*parts[0], *parts[1], "own three"])), (4, "\n".join([*parts[0], *parts[1], "own four"]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4] == ("own four", 6) and got[3] == ("own three", 6) and got[1][1] == got[2][1] == 0
+
+
 def test_personal_data(spark, none):
     from tessera.llm.pii import personal_data
 
