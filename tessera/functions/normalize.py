@@ -53,9 +53,31 @@ def accents() -> tuple[str, str]:
 ACCENTED, PLAIN = accents()
 
 
+def compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters of the basic plane that are another form (wide, raised, circled, ...) of one lower-case letter or digit, and
+    those; and the Latin ligatures with their letters."""
+    one, ligatures = [], []
+    for code in [*range(0x00A0, 0xD800), *range(0xF900, 0xFFFE)]:
+        c = chr(code)
+        whole = unicodedata.normalize("NFKD", c)
+        if whole != c and unicodedata.decomposition(c).startswith("<"):
+            if len(whole) == 1 and whole.isalnum():
+                one.append((c, whole.lower()))
+            elif len(whole) > 1 and whole.isascii() and whole.isalpha() and unicodedata.category(c)[0] in "LN":
+                ligatures.append((c, whole.lower()))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), ligatures
+
+
+FORMS, FORM_OF, LIGATURES = compatible()
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(repr(x) for pair in table.items() for x in pair)})")
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The table's value for a key, or the key itself."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), key)
+    return F.coalesce(F.element_at(literal_map(table), key), key)
 
 
 def base_text(text: Column | str) -> Column:
@@ -63,7 +85,10 @@ def base_text(text: Column | str) -> Column:
     c = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     for a, b in (("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("&", " and ")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"(?<=[a-z])\p{M}+", "")
+    c = F.translate(c, ACCENTED + FORMS, PLAIN + FORM_OF)
+    for a, b in LIGATURES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    c = F.regexp_replace(c, r"(?<=[a-z])\p{M}+", "")
     return F.trim(F.regexp_replace(c, NO_WORD, " "))
 
 
@@ -82,11 +107,20 @@ def core_name(name: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.col(name) if isinstance(name, str) else name, LEGAL_TAIL, ""))
 
 
+def composite_text(name: Column | str, address: Column | str) -> Column:
+    """Name and address in one line; null counts as ''."""
+    return F.trim(F.concat_ws(" ", *[F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))) for c in (name, address)]))
+
+
 def normalize_address(text: Column | str) -> Column:
+    return address_of_base(base_text(text))
+
+
+def address_of_base(base: Column) -> Column:
     near = "|".join(t.replace(" ", " +") for t in NEARBY)
-    bare = F.regexp_replace(base_text(text), rf"(?<!{WORD})(?:{near})(?!{WORD})", " ")
+    bare = F.regexp_replace(base, rf"(?<!{WORD})(?:{near})(?!{WORD})", " ")
     words = F.filter(F.split(bare, " +"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(*[F.element_at(F.create_map(*[F.lit(x) for p in t.items() for x in p]), w) for t in (CITY_NAMES, STREET_WORDS)], w)), " ")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(*[F.element_at(literal_map(t), w) for t in (CITY_NAMES, STREET_WORDS)], w)), " ")
 
 
 def address_numbers(text: Column | str) -> Column:
@@ -140,6 +174,24 @@ def address_components(text: Column | str) -> Column:
     return F.struct(normal.alias("normalized"), number.alias("street_number"), street.alias("street"), city.alias("city"), postal.alias("postal"))
 
 
+def with_components(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds what ``address_components`` gives as columns ``out`` + _normalized, _number, _street, _city, _postal, and the list _numbers.
+
+    Each step is a column of its own: as one expression the optimizer would copy the text's normal form into every use.
+    """
+    c = lambda name: F.col(f"{out}_{name}")
+    rows = rows.withColumns({f"{out}_text": F.coalesce(F.col(text), F.lit("")), f"{out}_base": base_text(text)})
+    rows = rows.withColumns({f"{out}_normalized": address_of_base(c("base")), f"{out}_raw": F.split(c("text"), r"[,;|]+"), f"{out}_all": F.regexp_extract_all(c("base"), F.lit(rf"(?<!{WORD})\d+[A-Za-z]?(?!{WORD})"), F.lit(0))})
+    parts = F.when(F.size(c("raw")) > 1, F.transform(c("raw"), normalize_address)).otherwise(F.array(c("normalized")))
+    rows = rows.withColumns({f"{out}_parts": F.filter(parts, lambda p: p != ""), f"{out}_postal": F.regexp_extract(c("normalized"), r"(?<!\d)\d{5,6}(?!\d)", 0)})
+    rows = rows.withColumns({f"{out}_number": F.coalesce(F.get(F.filter(c("all"), lambda n: n != c("postal")), F.lit(0)), F.lit(""))})
+    rows = rows.withColumns({f"{out}_bare": F.transform(c("parts"), lambda p: F.array_join(F.filter(F.split(p, " "), lambda w: (w != "") & (w != c("number")) & (w != c("postal"))), " "))})
+    street, last = F.coalesce(F.get(c("bare"), F.lit(0)), F.lit("")), F.element_at(c("bare"), -1)
+    city = F.when(F.size(c("bare")) >= 2, F.when((last == street) & (F.size(c("bare")) > 2), F.try_element_at(c("bare"), F.lit(-2))).otherwise(last)).otherwise(F.lit(""))
+    rows = rows.withColumns({f"{out}_street": street, f"{out}_city": city, f"{out}_numbers": c("all")})
+    return rows.drop(*[f"{out}_{x}" for x in ("text", "base", "raw", "all", "parts", "bare")])
+
+
 def entity_text(name: str, address: str, country: str) -> Column:
     """One line that describes an entity, for encoders; empty fields are left out."""
     labelled = [F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.concat(F.lit(f"{label}: "), F.trim(F.col(c)))) for label, c in (("business name", name), ("business address", address), ("country", country))]
@@ -148,36 +200,33 @@ def entity_text(name: str, address: str, country: str) -> Column:
 
 def preprocess(entities: DataFrame) -> DataFrame:
     """Adds the eight normalised columns to entity rows; null fields count as ''."""
-    parts = address_components("business_address")
+    rows = with_components(entities, "business_address", "business_address")
     return (
-        entities.withColumn("business_name_normalized", normalize_name("business_name"))
+        rows.withColumn("business_name_normalized", normalize_name("business_name"))
         .withColumn("business_name_core", core_name("business_name_normalized"))
-        .withColumn("_a", parts)
-        .withColumn("business_address_normalized", F.col("_a.normalized"))
-        .withColumn("business_address_numbers", F.array_join(address_numbers("business_address"), " "))
-        .withColumn("business_address_street_number", F.col("_a.street_number"))
-        .withColumn("business_address_street", F.col("_a.street"))
-        .withColumn("business_address_city", F.col("_a.city"))
-        .withColumn("business_address_postal", F.col("_a.postal"))
-        .drop("_a")
-    )
+        .withColumn("business_address_numbers", F.array_join("business_address_numbers", " "))
+        .withColumnRenamed("business_address_number", "business_address_street_number")
+        .select(
+            *entities.columns, "business_name_normalized", "business_name_core", "business_address_normalized", "business_address_numbers",
+            "business_address_street_number", "business_address_street", "business_address_city", "business_address_postal",
+        )
+    )
 
 
 def derived(entities: DataFrame) -> DataFrame:
     """The linkage form of entity rows: entity_id, country, name, core, sorted_core, address, numbers, street_number,
     street, city, postal, split (0 to 4, stable by id). Rows without an id are left out."""
     known = entities.where(F.trim(F.coalesce("entity_id", F.lit(""))) != "")
-    return (
-        known.select(
-            F.trim("entity_id").alias("entity_id"),
-            F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"),
-            normalize_name("business_name").alias("name"),
-            address_components("business_address").alias("a"),
-            F.pmod(F.crc32(F.trim("entity_id")), F.lit(5)).cast("int").alias("split"),
-        )
-        .withColumn("core", core_name("name"))
-        .select(
-            "entity_id", "country", "name", "core", sorted_words("core").alias("sorted_core"), F.col("a.normalized").alias("address"),
-            F.array_join(address_numbers("a.normalized"), " ").alias("numbers"), "a.street_number", "a.street", "a.city", "a.postal", "split",
-        )
+    rows = known.select(
+        F.trim("entity_id").alias("entity_id"),
+        F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"),
+        normalize_name("business_name").alias("name"),
+        "business_address",
+        F.pmod(F.crc32(F.trim("entity_id")), F.lit(5)).cast("int").alias("split"),
+    )
+    rows = with_components(rows, "business_address", "a").withColumn("core", core_name("name"))
+    numbers = F.regexp_extract_all("a_normalized", F.lit(rf"(?<!{WORD})\d+[A-Za-z]?(?!{WORD})"), F.lit(0))
+    return rows.select(
+        "entity_id", "country", "name", "core", sorted_words("core").alias("sorted_core"), F.col("a_normalized").alias("address"),
+        F.array_join(numbers, " ").alias("numbers"), F.col("a_number").alias("street_number"), F.col("a_street").alias("street"), F.col("a_city").alias("city"), F.col("a_postal").alias("postal"), "split",
     )

@@ -68,3 +68,11 @@ def policies_by_country(rows: DataFrame, policies: dict[str, Policy], unseen: Po
     schema = "country string, high double, low double, ambiguous_margin double, second_match_delta double, max_matches int, min_absolute double"
     table = spark.createDataFrame([(c, *(getattr(p, n) for n in names)) for c, p in policies.items()], schema)
     return rows.join(table, "country", "left").withColumns({n: F.coalesce(n, F.lit(getattr(unseen, n))) for n in names})
+
+
+def update_probabilities(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """``rows`` with the probabilities of ``scored`` (source1_id, target_id, probability); pairs it lacks keep theirs, null if they have none."""
+    pair = ["source1_id", "target_id"]
+    new = scored.select(*pair, F.col("probability").alias("new_probability"))
+    old = F.col("probability") if "probability" in rows.columns else F.lit(None).cast("double")
+    return rows.join(new, pair, "left").withColumn("probability", F.coalesce("new_probability", old)).drop("new_probability")

@@ -50,16 +50,19 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substr(padded, k, F.lit(3))))
 
 
-def minhash_bands(text: Column) -> Column:
-    """Band keys, each of two minima over affine permutations of the grams' CRC-32; none for fewer than three grams.
+def minhash_bands(text: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
+    """Band keys, each of ``rows`` minima over affine permutations of the grams' CRC-32; none for fewer than three grams.
+    There are 32 permutations for bands times rows.
 
     Products are taken modulo the prime in halves of 16 bits, since they pass 64 bits otherwise.
     """
 
+    if bands * rows > len(FACTORS):
+        raise ValueError(f"{bands} bands of {rows} rows need more than {len(FACTORS)} permutations")
     hashes = F.transform(grams(text), lambda g: F.crc32(g))
-    least = [F.array_min(permuted(hashes, a, b)) for a, b in zip(FACTORS, SHIFTS)]
-    bands = F.array(*[F.concat_ws(":", F.lit(k), *[m.cast("string") for m in least[k * BAND_ROWS : (k + 1) * BAND_ROWS]]) for k in range(BANDS)])
-    return F.when(F.size(grams(text)) >= 3, bands).otherwise(F.array().cast("array<string>"))
+    least = [F.array_min(permuted(hashes, a, b)) for a, b in zip(FACTORS[: bands * rows], SHIFTS)]
+    found = F.array(*[F.concat_ws(":", F.lit(k), *[m.cast("string") for m in least[k * rows : (k + 1) * rows]]) for k in range(bands)])
+    return F.when(F.size(grams(text)) >= 3, found).otherwise(F.array().cast("array<string>"))
 
 
 def permuted(hashes: Column, a: int, b: int) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PARTS = 4096  # of the range of probabilities in a threshold sweep
+
+
 def f05(tp: Column, predicted: Column, truth: Column) -> Column:
     """F0.5 of one entity's set. No truth: 1 for an empty prediction, else 0."""
     p, r = tp / predicted, tp / truth
@@ -76,14 +79,21 @@ def candidate_distribution(sources: DataFrame, candidates: DataFrame) -> DataFra
     )
 
 
+def candidate_summary(candidates: DataFrame, predicate: str = "true") -> DataFrame:
+    """pairs, entities and avg: candidates that fulfil an SQL predicate, and how many an entity that has any has of them."""
+    n = candidates.where(predicate).groupBy("source1_id").agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("entities"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 9).alias("avg"))
+
+
 def threshold_sweep(scored: DataFrame, truth: DataFrame, sources: DataFrame | None = None, top: int | None = 1) -> DataFrame:
     """threshold, macro_f05: the threshold over (source1_id, probability, label) that gives the best macro F0.5, the higher of
     equals; just above 1 is the empty prediction. ``sources`` sets the population, else it is the entities with candidates.
 
-    Within an entity each distinct probability changes its score; the changes are summed by probability, and one running sum over
-    distinct probabilities (rounded to 6 places, so a million at most) gives the objective at every threshold.
+    Within an entity each distinct probability changes its score; the changes are summed by probability, and a running sum over
+    distinct probabilities gives the objective at every threshold. The running sum is taken in parts of equal width of the probabilities,
+    each of which starts with the sum of those above it, so no task sorts them all.
     """
-    p = scored.select("source1_id", F.round("probability", 6).alias("p"), F.col("label").cast("int").alias("y"))
+    p = scored.select("source1_id", F.col("probability").cast("double").alias("p"), F.col("label").cast("int").alias("y"))
     steps = p.groupBy("source1_id", "p").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     by = Window.partitionBy("source1_id").orderBy(F.desc("p"))
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -95,7 +105,11 @@ def threshold_sweep(scored: DataFrame, truth: DataFrame, sources: DataFrame | No
     change = steps.withColumn("d", F.col("s") - F.coalesce(F.lag("s").over(by), empty)).groupBy("p").agg(F.sum("d").alias("d"))
     start = base.agg(F.lit(1.000001).alias("p"), F.sum(empty).alias("d"))
     population = base.agg(F.count("*").alias("k"))
-    curve = change.unionByName(start).crossJoin(F.broadcast(population))  # one row
-    curve = curve.withColumn("m", F.round(F.sum("d").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)) / F.col("k"), 9))
+    change = change.unionByName(start).withColumn("part", F.least(F.lit(PARTS), F.greatest(F.lit(0), F.floor(F.col("p") * PARTS))).cast("int"))
+    parts = change.groupBy("part").agg(F.sum("d").alias("s"))
+    above = parts.select("part", (F.sum("s").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("above"))
+    curve = change.join(F.broadcast(above), "part").crossJoin(F.broadcast(population))  # PARTS + 1 rows, one row
+    within = F.sum("d").over(Window.partitionBy("part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
+    curve = curve.withColumn("m", F.round((F.col("above") + within) / F.col("k"), 9))
     out = curve.select(F.col("p").alias("threshold"), F.col("m").alias("macro_f05"))
     return out.orderBy(F.desc("macro_f05"), F.desc("threshold")).limit(top) if top else out

@@ -192,6 +192,19 @@ def sweep_top_k(store: Store, sizes: list[int], config: Config) -> list[dict]:
     return out
 
 
+def sweep_bands(store: Store, shapes: list[tuple[int, int]]) -> list[dict]:
+    """Retrieval recall and candidates of MinHash keys of the core alone, for several (bands, rows)."""
+    out = []
+    for bands, rows in shapes:
+        found = [e.select(F.col("entity_id").alias(i), F.explode(keys.minhash_bands(F.col("core"), bands, rows)).alias("band")) for e, i in ((store.sources, "source1_id"), (store.targets, "target_id"))]
+        hot = [x.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > keys.KEY_LIMIT) for x in found]
+        s, t = (x.join(h, "band", "left_anti") for x, h in zip(found, hot))
+        pairs = s.join(t, "band").select("source1_id", "target_id").distinct()
+        r = metrics.retrieval_recall(store.sources, store.truth, pairs).first().asDict()
+        out.append({"bands": bands, "rows": rows, "pairs": metrics.candidate_summary(pairs).first()["pairs"], **r})
+    return out
+
+
 def load(spark: SparkSession, folder: str, split: str, config: Config) -> Store:
     for source in (1, 2, 3):
         tables.check_header(spark, tables.entity_path(folder, split, source), tables.ENTITY)
@@ -202,8 +215,8 @@ def load(spark: SparkSession, folder: str, split: str, config: Config) -> Store:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Link business records of several sources.")
     parser.add_argument("--mode", choices=("validate", "tune", "predict"), required=True)
-    parser.add_argument("--train_dir", required=True)
-    parser.add_argument("--test_dir")
+    parser.add_argument("--train_dir", required=True, nargs="+", help="the first of these folders that has the files")
+    parser.add_argument("--test_dir", nargs="+")
     parser.add_argument("--output_dir", required=True)
     parser.add_argument("--top_k", type=int, default=candidates.TOP_K)
     parser.add_argument("--seed", type=int, default=42)
@@ -211,18 +224,21 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     config = Config(top_k=args.top_k, seed=args.seed, scratch=args.scratch_dir)
-    train = load(spark, args.train_dir, "train", config)
+    train = load(spark, tables.find_dataset(spark, args.train_dir, "train"), "train", config)
     if args.mode == "validate":
-        tables.write_json(f"{args.output_dir}/validation_report.json", validate(train, config))
+        tables.write_json(spark, f"{args.output_dir}/validation_report.json", validate(train, config))
     elif args.mode == "tune":
-        tables.write_json(f"{args.output_dir}/tuned_policy.json", tune(train, config))
+        tables.write_json(spark, f"{args.output_dir}/tuned_policy.json", tune(train, config))
     else:
-        test = load(spark, args.test_dir or args.train_dir, "test", config)
-        rows = predict(train, test, tables.read_json(f"{args.output_dir}/tuned_policy.json"), config).persist()
+        folder = tables.find_dataset(spark, args.test_dir or args.train_dir, "test")
+        test = load(spark, folder, "test", config)
+        rows = predict(train, test, tables.read_json(spark, f"{args.output_dir}/tuned_policy.json"), config).persist()
         bad = tables.findings(rows, test.sources, test.targets).limit(20).collect()
         if bad:
             raise tables.BadTable(f"{len(bad)} findings or more, first: {bad[0]}")
-        tables.write_matches(rows, f"{args.output_dir}/matches")
+        order = tables.source_order(spark, tables.entity_path(folder, "test", 1))
+        tables.write_submission(rows, order, f"{args.output_dir}/submission")
+        rows.unpersist()
     return 0
 
 

@@ -161,6 +161,10 @@ vr AS (SELECT *, sum(n) OVER (PARTITION BY side, token) AS total, row_number() O
 """
 PREDICTED = LABELLED + "pd AS (SELECT * FROM pr WHERE probability >= 0.5),"
 
+COLLAPSED = "c[1] || replace(c[2:], '7', '')"  # of a word's codes: h and w go, runs become one
+for digit in "01234567":
+    COLLAPSED = f"regexp_replace({COLLAPSED}, '{digit}+', '{digit}', 'g')"
+
 ORACLES: dict[str, str] = {
     "normalize_names": f"WITH {BASED} z AS (SELECT 1) SELECT entity_id, name FROM named",
     "normalize_addresses": f"WITH {BASED} z AS (SELECT 1) SELECT entity_id, address FROM named",
@@ -210,4 +214,42 @@ ORACLES: dict[str, str] = {
     "stratified_split": f"""WITH {SIDES} {TRUTH} k AS (SELECT entity_id, least(coalesce(n, 0), 3)::INT AS stratum FROM s LEFT JOIN (SELECT source1_id, count(*) AS n FROM truth GROUP BY 1) x ON x.source1_id = entity_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || entity_id), entity_id) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM k)
         SELECT entity_id, stratum, r <= CASE WHEN n > 1 THEN greatest(1, least(n - 1, round_even(n * 0.2, 0))) ELSE 0 END AS valid FROM r""",
+    "composite_texts": f"WITH {ENT} z AS (SELECT 1) SELECT entity_id, trim(business_name || ' ' || business_address) AS text FROM ent",
+    "max_id_bytes": f"WITH {ENT} z AS (SELECT 1) SELECT max(strlen(entity_id))::INT AS bytes FROM ent",
+    "candidate_summary": f"WITH {PAIRS} k AS (SELECT * FROM (VALUES ('all'), ('exact'), ('structural'), ('none')) v(which)), n AS (SELECT which, source1_id, count(*) AS n FROM k JOIN ev ON CASE which WHEN 'all' THEN true WHEN 'exact' THEN exact_evidence > 0 WHEN 'structural' THEN structural_evidence > 0 ELSE evidence < 0 END GROUP BY ALL) SELECT which, coalesce(sum(n), 0)::BIGINT AS pairs, count(n) AS entities, round(coalesce(avg(n), 0), 9) AS avg FROM k LEFT JOIN n USING (which) GROUP BY which",
+    "update_probabilities": f"WITH {LABELLED} z AS (SELECT 1) SELECT source1_id, target_id, round(CASE WHEN rank = 1 THEN 1 - probability ELSE probability END, 6) AS probability FROM pr",
+    "preprocess_entities": f"WITH {BASED} z AS (SELECT 1) SELECT entity_id, country, name AS business_name_normalized, core AS business_name_core, address AS business_address_normalized, array_to_string({numbers('ba')}, ' ') AS business_address_numbers, coalesce(list_filter({numbers('ba')}, lambda x: x <> postal)[1], '') AS business_address_street_number, array_to_string(list_filter({words('address')}, lambda x: x <> coalesce(list_filter({numbers('ba')}, lambda y: y <> postal)[1], '') AND x <> postal), ' ') AS business_address_street, '' AS business_address_city, postal AS business_address_postal FROM cored",
+    "address_components": f"""WITH {LIT} b AS (SELECT id, coalesce(business_address, '') AS c, {base('business_address')} AS ba FROM lit),
+        n AS (SELECT id, c, {address('ba')} AS normalized, {numbers('ba')} AS nums FROM b),
+        q AS (SELECT id, normalized, {postal('normalized')} AS postal, nums, c FROM n),
+        q2 AS (SELECT *, coalesce(list_filter(nums, lambda x: x <> postal)[1], '') AS street_number FROM q),
+        p0 AS (SELECT id, generate_subscripts(string_split_regex(c, '[,;|]+'), 1) AS k, unnest(string_split_regex(c, '[,;|]+')) AS part FROM b),
+        p1 AS (SELECT id, k, {base('part')} AS pb FROM p0),
+        p2 AS (SELECT id, k, {address('pb')} AS part FROM p1),
+        p3 AS (SELECT p2.id, k, array_to_string(list_filter({words('part')}, lambda x: x <> street_number AND x <> postal), ' ') AS part FROM p2 JOIN q2 ON p2.id = q2.id WHERE part <> ''),
+        l AS (SELECT id, list(part ORDER BY k) AS v FROM p3 GROUP BY id)
+        SELECT q2.id, normalized, street_number, coalesce(v[1], '') AS street, CASE WHEN coalesce(len(v), 0) < 2 THEN '' WHEN v[-1] = v[1] AND len(v) > 2 THEN v[-2] ELSE v[-1] END AS city, postal FROM q2 LEFT JOIN l ON l.id = q2.id""",
+    "phonetic_keys": f"""WITH {SIDES} w AS (SELECT entity_id, unnest(list_distinct(string_split(core, ' '))) AS token FROM s), l AS (SELECT entity_id, token, regexp_replace(token, '[^a-z]', '', 'g') AS x FROM w WHERE token <> ''),
+        m AS (SELECT *, translate(x, 'abcdefghijklmnopqrstuvwxyz', '01230127022455012623017202') AS c FROM l)
+        SELECT entity_id, token, CASE WHEN regexp_matches(token, '^[a-z]') THEN upper(x[1]) || rpad(left(replace({COLLAPSED}[2:], '0', ''), 3), 3, '0') ELSE '' END AS sound FROM m""",
+    "validator_findings": f"""WITH {SIDES} bad AS (SELECT * FROM (VALUES (1, 'S1-0', 'S2-1,S2-1,S1-0'), (2, 'S1-3', 'S9-1,S3-2'), (3, 'S1-3', ''), (4, 'S1-999999999', 'S2-1'), (5, 'S1-6', 'S2-777777777,none')) v(n, source1_id, m)),
+        e AS (SELECT source1_id, t FROM (SELECT source1_id, trim(unnest(string_split(m, ','))) AS t FROM bad) WHERE t <> '' AND lower(t) NOT IN ('none', 'nan'))
+        SELECT 'duplicate_row' AS kind, source1_id, count(*)::VARCHAR AS detail FROM bad GROUP BY 2 HAVING count(*) > 1
+        UNION ALL SELECT 'repeated_id', source1_id, t FROM e GROUP BY 2, 3 HAVING count(*) > 1
+        UNION ALL SELECT DISTINCT 'self_match', source1_id, t FROM e WHERE t = source1_id
+        UNION ALL SELECT DISTINCT 'wrong_prefix', source1_id, t FROM e WHERE NOT (t LIKE 'S2-%' OR t LIKE 'S3-%')
+        UNION ALL SELECT 'missing_source', entity_id, '' FROM s WHERE entity_id NOT IN (SELECT source1_id FROM bad)
+        UNION ALL SELECT DISTINCT 'extra_source', source1_id, '' FROM bad WHERE source1_id NOT IN (SELECT entity_id FROM s)
+        UNION ALL SELECT DISTINCT 'unknown_id', source1_id, t FROM e WHERE t NOT IN (SELECT entity_id FROM t)""",
+    "trigram_cosine": f"""WITH {PAIRS} w AS (SELECT source1_id, target_id, 's' AS side, ' ' || unnest({words('s_name')}) || ' ' AS w FROM pf UNION ALL SELECT source1_id, target_id, 't', ' ' || unnest({words('t_name')}) || ' ' FROM pf),
+        g AS (SELECT source1_id, target_id, side, w[k : k + 2] AS g, count(*) AS n FROM (SELECT *, unnest(range(1, greatest(1, length(w) - 2) + 1)) AS k FROM w) GROUP BY ALL),
+        q AS (SELECT source1_id, target_id, side, sqrt(sum(n * n)) AS q FROM g GROUP BY ALL),
+        dt AS (SELECT a.source1_id, a.target_id, sum(a.n * b.n) AS dot FROM g a JOIN g b ON a.source1_id = b.source1_id AND a.target_id = b.target_id AND a.g = b.g AND a.side = 's' AND b.side = 't' GROUP BY ALL)
+        SELECT pf.source1_id, pf.target_id, round(coalesce(dot / (x.q * y.q), 0), 6) AS cosine FROM pf LEFT JOIN dt USING (source1_id, target_id) LEFT JOIN q x ON x.source1_id = pf.source1_id AND x.target_id = pf.target_id AND x.side = 's' LEFT JOIN q y ON y.source1_id = pf.source1_id AND y.target_id = pf.target_id AND y.side = 't'""",
+    "bounded_sample": f"""WITH {LABELLED} b AS (SELECT *, rank * 37 + length(source1_id) * 11 + length(target_id) * 13 AS spread, rank = 1 OR exact_evidence > 0 OR similarity >= 0.82 AS hard FROM pr),
+        c AS (SELECT count(*) AS rows_all, count(*) FILTER (label = 1) AS p FROM b),
+        o AS (SELECT 8 * (1 << k) AS mod FROM range(17) r(k)),
+        f AS (SELECT mod, (SELECT p FROM c) + (SELECT count(*) FROM b WHERE label = 0 AND hard AND spread % mod = 0) AS kept FROM o),
+        g AS (SELECT coalesce(min(mod) FILTER (kept <= 600), 8 * (1 << 16)) AS mod FROM f)
+        SELECT source1_id, target_id, label FROM b, c, g WHERE rows_all <= 600 OR label = 1 OR (p < 600 AND hard AND spread % mod = 0)""",
 }

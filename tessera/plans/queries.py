@@ -31,8 +31,14 @@ HOT = 20  # rows a side may have of a key in these queries: the fixture is small
 KEEP = 8  # candidates of an entity
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores where a small input has fewer; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def entities(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " ")), " ")
     rows = docs.select("doc_id", "lang", words.alias("t"))
     source = (F.col("doc_id") % 3 + 1).cast("int")
@@ -43,12 +49,14 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linkable(spark: SparkSession, sf: str) -> DataFrame:
-    """All entities in linkage form; Spark keeps them, since each query reads them several times."""
-    return N.derived(entities(spark, sf)).persist()
+    """All entities in linkage form. Not kept: a query computes only the columns that it reads."""
+    return N.derived(entities(spark, sf))
 
 
-def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf: str, several: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Source and target entities; ``several``: kept by Spark, for queries that read them again and again (clearCache lets them go)."""
     e = linkable(spark, sf)
+    e = e.persist() if several else e
     return e.where("entity_id like 'S1-%'"), e.where("entity_id not like 'S1-%'")
 
 
@@ -60,7 +68,7 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     df = keys.token_frequency(s)
     ks = keys.key_rows(s, keys.rare_tokens(s, df, HOT), lsh=False).where("family <> 'phonetic'")
     kt = keys.key_rows(t, keys.rare_tokens(t, df, HOT), lsh=False).where("family <> 'phonetic'")
@@ -74,7 +82,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates with word similarities as scores, which SQL can check."""
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     rows = candidates.with_fields(blocking.merge_routes(evidence(spark, sf)), s, t)
     rows = rows.withColumn("name_score", F.round(S.word_jaccard("s_core", "t_core"), 9)).withColumn("address_score", F.round(S.word_jaccard("s_address", "t_address"), 9))
     return candidates.similarity(rows).persist()
@@ -195,7 +203,7 @@ def blocking_evidence(spark, sf):
 
 @query
 def hot_key_rescue(spark, sf):
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     ks, kt = keyed(spark, sf)
     hot = blocking.split_by_frequency(ks, HOT)[1].unionByName(blocking.split_by_frequency(kt, HOT)[1])
     return blocking.rescue(ks, kt, hot, s, t)
@@ -210,12 +218,12 @@ def multi_route_merge(spark, sf):
 
 @query
 def low_candidates(spark, sf):
-    return blocking.low_candidate_sources(sides(spark, sf)[0], evidence(spark, sf), 4).select("entity_id")
+    return blocking.low_candidate_sources(sides(spark, sf, True)[0], evidence(spark, sf), 4).select("entity_id")
 
 
 @query
 def pair_scores(spark, sf):
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     r = candidates.with_fields(evidence(spark, sf).select("source1_id", "target_id"), s, t)
     return r.select(
         "source1_id", "target_id", F.round(S.word_jaccard("s_core", "t_core"), 6).alias("name_jaccard"), F.round(S.word_containment("s_core", "t_core"), 6).alias("name_containment"),
@@ -226,14 +234,14 @@ def pair_scores(spark, sf):
 
 @query
 def trigram_cosine(spark, sf):
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     r = candidates.with_fields(evidence(spark, sf).select("source1_id", "target_id"), s, t)
     return r.select("source1_id", "target_id", F.round(S.trigram_cosine("s_name", "t_name"), 6).alias("cosine"))
 
 
 @query
 def fuzzy_ratios(spark, sf):
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     r = candidates.with_fields(evidence(spark, sf).select("source1_id", "target_id"), s, t)
     return r.select("source1_id", "target_id", S.ratio("s_core", "t_core").alias("ratio"), S.token_sort_ratio("s_core", "t_core").alias("sort_ratio"), S.token_set_ratio("s_core", "t_core").alias("set_ratio"), S.partial_ratio("s_core", "t_core").alias("partial_ratio"))
 
@@ -270,7 +278,7 @@ def truth_pairs(spark, sf):
 
 
 def matched(spark, sf):
-    s, t = sides(spark, sf)
+    s, t = sides(spark, sf, True)
     return candidates.with_fields(truth(spark, sf), s, t)
 
 
@@ -295,22 +303,22 @@ def semantic_topk(spark, sf):
 @query
 def semantic_cells(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return semantic.cell_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec")), 10, probes=12)
+    return semantic.cell_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec")), 10)
 
 
 @query
 def retrieval_recall(spark, sf):
-    return metrics.retrieval_recall(sides(spark, sf)[0], truth(spark, sf), evidence(spark, sf))
+    return metrics.retrieval_recall(sides(spark, sf, True)[0], truth(spark, sf), evidence(spark, sf))
 
 
 @query
 def country_diagnostics(spark, sf):
-    return metrics.country_diagnostics(sides(spark, sf)[0], truth(spark, sf), evidence(spark, sf))
+    return metrics.country_diagnostics(sides(spark, sf, True)[0], truth(spark, sf), evidence(spark, sf))
 
 
 @query
 def candidate_stats(spark, sf):
-    return metrics.candidate_distribution(sides(spark, sf)[0], evidence(spark, sf))
+    return metrics.candidate_distribution(sides(spark, sf, True)[0], evidence(spark, sf))
 
 
 def predicted(spark, sf):
@@ -319,17 +327,17 @@ def predicted(spark, sf):
 
 @query
 def macro_f05(spark, sf):
-    return metrics.macro_f05(metrics.entity_counts(sides(spark, sf)[0], truth(spark, sf), predicted(spark, sf)), "country")
+    return metrics.macro_f05(metrics.entity_counts(sides(spark, sf, True)[0], truth(spark, sf), predicted(spark, sf)), "country")
 
 
 @query
 def precision_recall(spark, sf):
-    return metrics.precision_recall(metrics.entity_counts(sides(spark, sf)[0], truth(spark, sf), predicted(spark, sf)))
+    return metrics.precision_recall(metrics.entity_counts(sides(spark, sf, True)[0], truth(spark, sf), predicted(spark, sf)))
 
 
 @query
 def threshold_sweep(spark, sf):
-    return metrics.threshold_sweep(probable(spark, sf), truth(spark, sf), sides(spark, sf)[0])
+    return metrics.threshold_sweep(probable(spark, sf), truth(spark, sf), sides(spark, sf, True)[0])
 
 
 POLICY = decision.Policy(0.6, 0.45, 0.05, 0.04, 3, 0.3)
@@ -350,19 +358,18 @@ def country_policies(spark, sf):
 @query
 def submission_rows(spark, sf):
     rows = probable(spark, sf)
-    return tables.match_rows(sides(spark, sf)[0], rows.select("source1_id", "target_id", "rank"), rows.where("probability >= 0.5").select("source1_id", "target_id", "probability"))
+    return tables.match_rows(sides(spark, sf, True)[0], rows.select("source1_id", "target_id", "rank"), rows.where("probability >= 0.5").select("source1_id", "target_id", "probability"))
 
 
 @query
 def threshold_rows(spark, sf):
-    return tables.rows_by_threshold(sides(spark, sf)[0], probable(spark, sf), 0.5)
+    return tables.rows_by_threshold(sides(spark, sf, True)[0], probable(spark, sf), 0.5)
 
 
 @query
 def validator_findings(spark, sf):
     bad = spark.createDataFrame([("S1-0", "S2-1,S2-1,S1-0"), ("S1-3", "S9-1,S3-2"), ("S1-3", ""), ("S1-999999999", "S2-1"), ("S1-6", "S2-777777777,none")], "source1_id string, matched_entity_ids string")
-    s, t = sides(spark, sf)
-    return tables.findings(bad, s.where("entity_id in ('S1-0', 'S1-3', 'S1-6', 'S1-9')"), t)
+    return tables.findings(bad, *sides(spark, sf))
 
 
 @query
@@ -372,7 +379,7 @@ def country_top2(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    return splits.stratified_split(sides(spark, sf)[0], truth(spark, sf)).select("entity_id", "stratum", "valid")
+    return splits.stratified_split(sides(spark, sf, True)[0], truth(spark, sf)).select("entity_id", "stratum", "valid")
 
 
 @query
@@ -399,3 +406,30 @@ def logistic_scores(spark, sf):
 @query
 def ensemble_scores(spark, sf):
     return _scores(spark, sf, "ensemble")
+
+
+@query
+def composite_texts(spark, sf):
+    return entities(spark, sf).select("entity_id", N.composite_text("business_name", "business_address").alias("text"))
+
+
+@query
+def candidate_summary(spark, sf):
+    rows = evidence(spark, sf)
+    out = None
+    for name, where in (("all", "true"), ("exact", "exact_evidence > 0"), ("structural", "structural_evidence > 0"), ("none", "evidence < 0")):
+        one = metrics.candidate_summary(rows, where).withColumn("which", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def max_id_bytes(spark, sf):
+    return tables.max_id_bytes(entities(spark, sf))
+
+
+@query
+def update_probabilities(spark, sf):
+    rows = probable(spark, sf).select("source1_id", "target_id", "rank", "probability")
+    new = rows.where("rank = 1").select("source1_id", "target_id", (1 - F.col("probability")).alias("probability"))
+    return decision.update_probabilities(rows, new).select("source1_id", "target_id", F.round("probability", 6).alias("probability"))

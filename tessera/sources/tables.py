@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,12 +142,118 @@ def findings(rows: DataFrame, sources: DataFrame, targets: DataFrame | None = No
     return out
 
 
-def write_json(path: str, values: dict) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(values, f, indent=2, sort_keys=True)
-
-
-def read_json(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
+def write_json(spark: SparkSession, path: str, values: dict) -> None:
+    """A report as a folder with one text file, through Spark's file systems."""
+    text = json.dumps(values, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def find_dataset(spark: SparkSession, folders: list[str], split: str) -> str:
+    """The first folder that has the three entity files of the split (and its truth, for train); BadTable if none has."""
+    for folder in folders:
+        try:
+            for source in (1, 2, 3):
+                check_header(spark, entity_path(folder, split, source), ENTITY)
+            if split == "train":
+                check_header(spark, truth_path(folder, split), TRUTH_FILE)
+        except BadTable:
+            continue
+        return folder.rstrip("/")
+    raise BadTable(f"none of {', '.join(folders)} has the files of {split}")
+
+
+def source_order(spark: SparkSession, path: str) -> DataFrame:
+    """source1_id, position: the order of an entity file's rows."""
+    return read_tsv(spark, path, ENTITY).select(F.col("entity_id").alias("source1_id"), F.monotonically_increasing_id().alias("position"))
+
+
+def write_submission(rows: DataFrame, order: DataFrame, path: str) -> None:
+    """Two folders of TSV parts, ``path``/candidates and ``path``/matches, a line per source entity in the order of its file.
+
+    Parts in the order of their names make the file; a shuffle by ranges of positions sorts them, so none grows with the whole.
+    """
+    placed = rows.join(order, "source1_id")
+    for name, column in (("candidates", CANDIDATES), ("matches", MATCHES)):
+        placed.orderBy("position").select(F.col("source1_id").alias("source1_entity_id"), column).write.mode("overwrite").csv(f"{path.rstrip('/')}/{name}", sep="\t", header=True, emptyValue="", quote="")
+
+
+def rows_from_pairs(sources: DataFrame, targets: DataFrame, pairs: DataFrame, probabilities: DataFrame, threshold: float) -> DataFrame:
+    """Match rows from pairs (pair, source1_id, target_id, rank) and probabilities (pair, probability), joined by the pair's number.
+
+    Raises BadTable if a pair lacks a probability or has several, repeats, or names an entity that isn't there.
+    """
+    both = pairs.join(probabilities, "pair", "full")
+    checks = {
+        "pairs without a probability": both.where("probability is null"),
+        "probabilities without a pair": both.where("source1_id is null"),
+        "pairs that repeat": both.groupBy("source1_id", "target_id").agg(F.count("*").alias("n")).where("n > 1"),
+        "unknown source entities": pairs.join(sources.select(F.col("entity_id").alias("source1_id")), "source1_id", "left_anti"),
+        "unknown targets": pairs.join(targets.select(F.col("entity_id").alias("target_id")), "target_id", "left_anti"),
+    }
+    for what, rows in checks.items():
+        if rows.limit(1).count():
+            raise BadTable(what)
+    return match_rows(sources, pairs, both.where(F.col("probability") >= threshold))
+
+
+def contract_findings(candidates: DataFrame, matches: DataFrame, order: DataFrame) -> DataFrame:
+    """kind, source1_id: where two submission tables (position, source1_id, list) break the output contract.
+
+    order: the row at a position isn't the source file's; missing, extra, repeated: rows; prefix: a target id that isn't one of
+    source 2 or 3; twice: a target listed twice; subset: a match that isn't a candidate; no_candidates: an entity with matches alone.
+    """
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), clean_id), lambda v: v != "")
+    found = lambda kind, df: df.select(F.lit(kind).alias("kind"), "source1_id")
+    out = None
+    tables = [(candidates, CANDIDATES), (matches, MATCHES)]
+    for rows, column in tables:
+        ids = listed(column)
+        some = [
+            found("order", order.select("position", F.col("source1_id").alias("expected")).join(rows, "position", "full").where("not (expected <=> source1_id)").withColumn("source1_id", F.coalesce("source1_id", "expected"))),
+            found("missing", order.join(rows, "source1_id", "left_anti")), found("extra", rows.join(order, "source1_id", "left_anti")),
+            found("repeated", rows.groupBy("source1_id").agg(F.count("*").alias("n")).where("n > 1")),
+            found("prefix", rows.where(F.exists(ids, lambda v: ~v.rlike("^S[23]-")))), found("twice", rows.where(F.size(ids) > F.size(F.array_distinct(ids)))),
+        ]
+        for x in some:
+            out = x if out is None else out.unionByName(x)
+    both = candidates.select("source1_id", listed(CANDIDATES).alias("c")).join(matches.select("source1_id", listed(MATCHES).alias("m")), "source1_id")
+    out = out.unionByName(found("subset", both.where(F.size(F.array_except("m", "c")) > 0)))
+    return out.unionByName(found("no_candidates", both.where((F.size("c") == 0) & (F.size("m") > 0)))).distinct()
+
+
+def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates and matches that ``write_submission`` wrote, with the position of each line."""
+    out = []
+    for name, column in (("candidates", CANDIDATES), ("matches", MATCHES)):
+        rows = read_tsv(spark, f"{path.rstrip('/')}/{name}", (TRUTH_FILE[0], column))
+        out.append(rows.select(F.monotonically_increasing_id().alias("position"), F.col(TRUTH_FILE[0]).alias("source1_id"), column))
+    return out[0], out[1]
+
+
+def write_features(rows: DataFrame, names: tuple[str, ...], path: str) -> dict:
+    """Feature rows (source1_id, target_id, label, names) as Parquet under ``path``/rows, and a manifest under ``path``/manifest.
+
+    Gives the manifest: names, rows, positives. Raises BadTable if what was written has another number of rows than what was given.
+    """
+    spark = rows.sparkSession
+    given = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+    rows.select("source1_id", "target_id", F.col("label").cast("tinyint").alias("label"), *[F.col(c).cast("float").alias(c) for c in names]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/rows")
+    written = spark.read.parquet(f"{path.rstrip('/')}/rows").count()
+    if written != given["n"]:
+        raise BadTable(f"{path}: {written} feature rows instead of {given['n']}")
+    manifest = {"features": list(names), "rows": given["n"], "positives": given["p"]}
+    write_json(spark, f"{path.rstrip('/')}/manifest", manifest)
+    return manifest
+
+
+def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path.rstrip('/')}/rows"), read_json(spark, f"{path.rstrip('/')}/manifest")
+
+
+def max_id_bytes(rows: DataFrame, column: str = "entity_id") -> DataFrame:
+    """bytes: length of the longest id, 0 without any."""
+    return rows.agg(F.coalesce(F.max(F.octet_length(column)), F.lit(0)).alias("bytes"))

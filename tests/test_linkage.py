@@ -140,3 +140,107 @@ def test_shortlist_keeps_budget(spark):
     rows = spark.range(100).select(F.lit("S1-1").alias("source1_id"), F.concat(F.lit("S2-"), "id").alias("target_id"), (F.col("id") * 1.0).alias("evidence"), F.lit(1).alias("support_count"), *[F.lit(0.0).alias(c) for c in ("name_evidence", "address_evidence", "structural_evidence", "exact_evidence", "semantic_score")], F.lit("a b").alias("s_core"), F.concat(F.lit("a "), "id").alias("t_core"), F.lit("").alias("s_address"), F.lit("").alias("t_address"))
     got = candidates.shortlist(rows, 4)
     assert got.count() == 32 and got.agg(F.max("evidence")).first()[0] == 99.0
+
+
+def test_other_forms_of_letters(spark):
+    assert value(spark, N.base_text, "ﬁne ＡＢＣ x² ⅷ ①") == "fine abc x2 viii 1"
+    assert spark.range(1).select(N.composite_text(F.lit(" a "), F.lit(None).cast("string")).alias("v")).first().v == "a"
+
+
+def test_address_columns_agree_with_the_expression(spark):
+    texts = ["12 Main Street Suite 400, Springfield, 62704", "221B Baker Street; London", "near Old Strasse 7 | Berlin 10115", "Rue de la Paix 75002, Paris, Paris", "a, b, a", ",", "", None, "62704 62704 5"]
+    d = spark.createDataFrame([(t,) for t in texts], "c string")
+    rows = N.with_components(d.withColumn("x", N.address_components("c")), "c", "o").collect()
+    for r in rows:
+        assert tuple(r.x) == (r.o_normalized, r.o_number, r.o_street, r.o_city, r.o_postal)
+
+
+FILES = {
+    "source1": [("S1-3", "Acme Bakery LLC", "12 Main Street", "US"), ("S1-1", "Blue Door Inc", "5 Oak Road", "US"), ("S1-2", "Nobody Knows Ltd", "1 Far Away", "FR")],
+    "source2": [("S2-1", "acme bakery", "12 main st", "us"), ("S2-2", "blue door", "5 oak rd", "us"), ("S2-3", "other shop", "77 hill road", "fr")],
+    "source3": [("S3-1", "blue doors inc", "5 oak road", "us")],
+}
+TRUE = {"S1-3": "S2-1", "S1-1": "S2-2,S3-1", "S1-2": ""}
+
+
+def dataset(folder, split, truth=True, copies=1):
+    folder.mkdir(parents=True, exist_ok=True)
+    other = lambda i, k: i if not k else f"{i}{k}"
+    for name, rows in FILES.items():
+        lines = ["entity_id\tbusiness_name\tbusiness_address\tcountry"] + ["\t".join((other(r[0], k), f"{r[1]} {'abcdefghijklmnop'[k] * 4 if k else ''}".strip(), f"{r[2]} {k or ''}".strip(), r[3])) for k in range(copies) for r in rows]
+        (folder / f"{split}_{name}.tsv").write_text("\n".join(lines) + "\n")
+    if truth:
+        lines = ["source1_entity_id\tmatched_entity_ids"] + [f"{other(i, k)}\t{','.join(other(x, k) for x in m.split(',') if x)}" for k in range(copies) for i, m in TRUE.items()]
+        (folder / f"{split}_ground_truth.tsv").write_text("\n".join(lines) + "\n")
+
+
+def test_submission_in_source_order(spark, tmp_path):
+    dataset(tmp_path / "data", "train")
+    folder = tables.find_dataset(spark, [str(tmp_path / "none"), str(tmp_path / "data")], "train")
+    order = tables.source_order(spark, tables.entity_path(folder, "train", 1))
+    sources, targets = tables.read_entities(spark, tables.entity_path(folder, "train", 1)), tables.read_targets(spark, folder, "train")
+    pairs = spark.createDataFrame([(0, "S1-3", "S2-1", 1), (1, "S1-1", "S3-1", 2), (2, "S1-1", "S2-2", 1)], "pair long, source1_id string, target_id string, rank int")
+    p = spark.createDataFrame([(0, 0.4), (1, 0.9), (2, 0.7)], "pair long, probability double")
+    rows = tables.rows_from_pairs(sources, targets, pairs, p, 0.5)
+    tables.write_submission(rows, order, str(tmp_path / "out"))
+    read = lambda name: [x for f in sorted((tmp_path / "out" / name).glob("part-*.csv")) for x in f.read_text().splitlines() if not x.startswith("source1_entity_id")]
+    assert read("candidates") == ["S1-3\tS2-1", "S1-1\tS2-2,S3-1", "S1-2\t"]
+    assert read("matches") == ["S1-3\t", "S1-1\tS3-1,S2-2", "S1-2\t"]
+    for bad in (p.limit(2), p.unionByName(p.limit(1))):
+        with pytest.raises(tables.BadTable):
+            tables.rows_from_pairs(sources, targets, pairs, bad, 0.5)
+    with pytest.raises(tables.BadTable):
+        tables.find_dataset(spark, [str(tmp_path / "none")], "train")
+
+
+def test_contract_findings(spark):
+    order = spark.createDataFrame([(0, "S1-1"), (1, "S1-2"), (2, "S1-3")], "position long, source1_id string")
+    c = spark.createDataFrame([(0, "S1-1", "S2-1,S2-2"), (1, "S1-2", ""), (2, "S1-3", "S2-1")], "position long, source1_id string, candidate_entity_ids string")
+    m = spark.createDataFrame([(0, "S1-1", "S2-2"), (1, "S1-2", ""), (2, "S1-3", "")], "position long, source1_id string, matched_entity_ids string")
+    assert tables.contract_findings(c, m, order).count() == 0
+    bad = spark.createDataFrame([(0, "S1-2", "S2-1"), (1, "S1-1", "S2-2,S2-2"), (2, "S1-9", "S9-1")], "position long, source1_id string, matched_entity_ids string")
+    got = {tuple(r) for r in tables.contract_findings(c, bad, order).collect()}
+    assert {("order", "S1-2"), ("missing", "S1-3"), ("extra", "S1-9"), ("twice", "S1-1"), ("prefix", "S1-9"), ("subset", "S1-2"), ("no_candidates", "S1-2")} <= got
+
+
+def test_features_are_written_with_a_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([("S1-1", "S2-1", 1, 0.5), ("S1-1", "S2-2", 0, 0.25)], "source1_id string, target_id string, label int, f double")
+    assert tables.write_features(rows, ("f",), str(tmp_path / "m")) == {"features": ["f"], "rows": 2, "positives": 1}
+    back, manifest = tables.read_features(spark, str(tmp_path / "m"))
+    assert manifest["rows"] == back.count() == 2 and dict(back.dtypes) == {"source1_id": "string", "target_id": "string", "label": "tinyint", "f": "float"}
+
+
+def test_pair_helpers(spark):
+    rows = spark.createDataFrame([("a", "x", 0.1), ("a", "y", 0.2), ("b", "x", 0.3)], "source1_id string, target_id string, probability double")
+    new = spark.createDataFrame([("a", "y", 0.9)], "source1_id string, target_id string, probability double")
+    assert {(r.source1_id, r.target_id): r.probability for r in decision.update_probabilities(rows, new).collect()} == {("a", "x"): 0.1, ("a", "y"): 0.9, ("b", "x"): 0.3}
+    assert decision.update_probabilities(rows.drop("probability"), new).where("probability is null").count() == 2
+    assert tuple(metrics.candidate_summary(rows, "probability > 0.15").first()) == (2, 2, 1.0) and tuple(metrics.candidate_summary(rows.limit(0)).first()) == (0, 0, 0.0)
+    assert tables.max_id_bytes(spark.createDataFrame([("é",), ("a",)], "entity_id string")).first().bytes == 2
+
+
+def test_threshold_sweep_is_exact(spark):
+    rng = random.Random(5)
+    scored = [(f"S1-{i}", f"S2-{i}{k}", rng.random() if k else 0.5 + 1e-9 * i, int(rng.random() < 0.4)) for i in range(30) for k in range(4)]
+    d = spark.createDataFrame(scored, "source1_id string, target_id string, probability double, label int")
+    truth = d.where("label = 1").select("source1_id", "target_id")
+
+    def score(t):
+        total = 0
+        for i in {r[0] for r in scored}:
+            mine = [r for r in scored if r[0] == i]
+            n, pred = sum(r[3] for r in mine), [r for r in mine if r[2] >= t]
+            tp = sum(r[3] for r in pred)
+            total += (not pred) * 1.0 if not n else 0.0 if not tp else 1.25 * tp / len(pred) * tp / n / (0.25 * tp / len(pred) + tp / n)
+        return round(total / 30, 9)
+
+    best = max(((score(t), t) for t in [1.000001, *{r[2] for r in scored}]))
+    got = metrics.threshold_sweep(d, truth).first()
+    assert (got.macro_f05, got.threshold) == best
+
+
+def test_cells_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q, t = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec"))
+    exact, near = ({(r.query_id, r.target_id) for r in f(q, t, 10).collect()} for f in (semantic.semantic_topk, semantic.cell_topk))
+    assert len(exact & near) >= 0.9 * len(exact)
