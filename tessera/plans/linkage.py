@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.normalize import derived
 from tessera.operators import blocking, candidates, decision, features, keys, metrics, models, semantic, splits, variation
+from tessera.plans.keep import written
 from tessera.sources import tables
 
 
@@ -23,7 +24,7 @@ class Config:
     most_rows: int = 2_000_000
     seed: int = 42
     vectors: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False)  # (entity_id, vec) of sources and of targets
-    scratch: str | None = None  # a shared folder: stages are written there, else kept by Spark
+    scratch: str | None = None  # where stages are written, under fixed names; else in the session's shared folder
 
 
 @dataclass
@@ -38,11 +39,7 @@ class Store:
 
 
 def kept(df: DataFrame, config: Config, name: str) -> DataFrame:
-    if not config.scratch:
-        return df.persist()
-    path = f"{config.scratch.rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(df, name, config.scratch)
 
 
 def candidate_routes(sources: DataFrame, targets: DataFrame, config: Config, name: str = "train") -> DataFrame:
@@ -232,13 +229,13 @@ def main(argv: list[str] | None = None) -> int:
     else:
         folder = tables.find_dataset(spark, args.test_dir or args.train_dir, "test")
         test = load(spark, folder, "test", config)
-        rows = predict(train, test, tables.read_json(spark, f"{args.output_dir}/tuned_policy.json"), config).persist()
+        rows = predict(train, test, tables.read_json(spark, f"{args.output_dir}/tuned_policy.json"), config)
+        rows = kept(rows, config, "test_matches")
         bad = tables.findings(rows, test.sources, test.targets).limit(20).collect()
         if bad:
             raise tables.BadTable(f"{len(bad)} findings or more, first: {bad[0]}")
         order = tables.source_order(spark, tables.entity_path(folder, "test", 1))
         tables.write_submission(rows, order, f"{args.output_dir}/submission")
-        rows.unpersist()
     return 0
 
 

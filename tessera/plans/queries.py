@@ -7,6 +7,7 @@ address, the language a country; doc_id mod 3 deals them to source 1 and to targ
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import normalize as N
 from tessera.functions import similarity as S
 from tessera.operators import blocking, candidates, decision, features, keys, metrics, models, semantic, splits, variation
+from tessera.plans.keep import written
 from tessera.sources import tables
 
 LITERALS = [
@@ -53,10 +55,19 @@ def linkable(spark: SparkSession, sf: str) -> DataFrame:
     return N.derived(entities(spark, sf))
 
 
+STAGES: dict[str, DataFrame] = {}  # what the query that is being built has written so far
+
+
+def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that one query reads several times, written once for it."""
+    if name not in STAGES:
+        STAGES[name] = written(make(), name)
+    return STAGES[name]
+
+
 def sides(spark: SparkSession, sf: str, several: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Source and target entities; ``several``: kept by Spark, for queries that read them again and again (clearCache lets them go)."""
-    e = linkable(spark, sf)
-    e = e.persist() if several else e
+    """Source and target entities; ``several``: written, for queries that read them again and again."""
+    e = stage("entities", lambda: linkable(spark, sf)) if several else linkable(spark, sf)
     return e.where("entity_id like 'S1-%'"), e.where("entity_id not like 'S1-%'")
 
 
@@ -70,22 +81,26 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 def keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     s, t = sides(spark, sf, True)
     df = keys.token_frequency(s)
-    ks = keys.key_rows(s, keys.rare_tokens(s, df, HOT), lsh=False).where("family <> 'phonetic'")
+    ks = stage("source_keys", lambda: keys.key_rows(s, keys.rare_tokens(s, df, HOT), lsh=False).where("family <> 'phonetic'"))
     kt = keys.key_rows(t, keys.rare_tokens(t, df, HOT), lsh=False).where("family <> 'phonetic'")
-    return ks, blocking.active_keys(kt, ks)
+    return ks, stage("target_keys", lambda: blocking.active_keys(kt, ks))
 
 
-def evidence(spark: SparkSession, sf: str) -> DataFrame:
+def pairs_of_keys(spark: SparkSession, sf: str) -> DataFrame:
     ks, kt = keyed(spark, sf)
-    return blocking.pair_evidence(blocking.split_by_frequency(ks, HOT)[0], blocking.split_by_frequency(kt, HOT)[0]).persist()
+    return blocking.pair_evidence(blocking.split_by_frequency(ks, HOT)[0], blocking.split_by_frequency(kt, HOT)[0])
+
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return stage("evidence", lambda: pairs_of_keys(spark, sf))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates with word similarities as scores, which SQL can check."""
     s, t = sides(spark, sf, True)
-    rows = candidates.with_fields(blocking.merge_routes(evidence(spark, sf)), s, t)
+    rows = candidates.with_fields(blocking.merge_routes(pairs_of_keys(spark, sf)), s, t)
     rows = rows.withColumn("name_score", F.round(S.word_jaccard("s_core", "t_core"), 9)).withColumn("address_score", F.round(S.word_jaccard("s_address", "t_address"), 9))
-    return candidates.similarity(rows).persist()
+    return stage("scored", lambda: candidates.similarity(rows))
 
 
 def selected(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,8 +127,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def build(spark: SparkSession, sf: str) -> DataFrame:
+        STAGES.clear()
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = build
+    return build
 
 
 @query
@@ -198,7 +218,7 @@ def frequency_split(spark, sf):
 
 @query
 def blocking_evidence(spark, sf):
-    return evidence(spark, sf)
+    return pairs_of_keys(spark, sf)
 
 
 @query
@@ -388,7 +408,7 @@ def bounded_sample(spark, sf):
 
 
 def _scores(spark, sf, kind):
-    rows = featured(spark, sf).persist()
+    rows = stage("features", lambda: featured(spark, sf))
     model = models.fit(rows, models.ModelSpec(kind, kind, rounds=10, depth=3))
     return model.predict(rows).select("source1_id", "target_id", "label", F.round("probability", 6).alias("probability"))
 
