@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
 from tessera.functions import similarity as S
-from tessera.operators import blocking, candidates, decision, features, keys, metrics, semantic, splits
+from tessera.operators import blocking, candidates, decision, features, keys, metrics, models, semantic, splits
+from tessera.plans import linkage
 from tessera.sources import tables
 
 
@@ -193,6 +194,18 @@ def test_submission_in_source_order(spark, tmp_path):
         tables.find_dataset(spark, [str(tmp_path / "none")], "train")
 
 
+def test_trained_on_one_data_set_and_predicted_on_another(spark, tmp_path):
+    dataset(tmp_path, "train", copies=6)
+    dataset(tmp_path, "test", truth=False, copies=6)
+    config = linkage.Config()
+    train, test = (linkage.load(spark, str(tmp_path), split, config) for split in ("train", "test"))
+    assert metrics.retrieval_recall(train.sources, train.truth, train.final).first()["pair_recall"] == 1.0
+    policy = {"spec": models.ModelSpec("linear", "linear").__dict__, "thresholds": {}, "unseen": 0.5}
+    found = linkage.kept(linkage.predict(train, test, policy, config), config, "matches")
+    assert not tables.findings(found, test.sources, test.targets).count()
+    assert {r[0] for r in found.select("source1_id").collect()} == {f"{i}{k or ''}" for i in TRUE for k in range(6)}
+
+
 def test_contract_findings(spark):
     order = spark.createDataFrame([(0, "S1-1"), (1, "S1-2"), (2, "S1-3")], "position long, source1_id string")
     c = spark.createDataFrame([(0, "S1-1", "S2-1,S2-2"), (1, "S1-2", ""), (2, "S1-3", "S2-1")], "position long, source1_id string, candidate_entity_ids string")
