@@ -22,8 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` as Parquet, read back: at ``folder``/``name``, or under a new name in the shared folder, where it stays until that
-    is cleaned. A plan kept by persist would be described with every stage of every reader, which takes minutes where kept
-    plans nest."""
+    is cleaned. Spark describes a plan kept by persist again in the plans of its readers, which grow long where kept plans nest."""
     spark = df.sparkSession
     path = f"{folder.rstrip('/')}/{name}" if folder else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
