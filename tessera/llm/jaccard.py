@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialise, with_columns
+from .store import discard, materialise, with_columns
 from .textkit import chunks, mix, raw, shingle_sets, word_hashes
 
 GROUPS = 256  # of shingles; their counts are the coordinates of a document's point
@@ -19,7 +19,11 @@ SKETCH_BITS = 20  # counters of the frequency sketch; its size is fixed
 PART_BITS = 14
 FAN = 32  # children of a tree's node
 BLOCK = 2048  # points that a task's tree or query block holds
+BLOCK_SHINGLES = 1 << 22  # that the sets of such a block have, unless one set has more
+EDGES = 1 << 20  # pairs of points that a task holds at a time
+ASKED = 64  # sets that are intersected with another at a time
 SALT_ROWS = 256  # texts that are checked against one copy of a pivot's text
+MARK_BITS, MARK_BUCKET = 23, 15  # of the map that says which documents' texts are needed; its size is fixed
 
 
 class Ratio:
@@ -79,18 +83,23 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def packed(point: np.ndarray) -> list[bytes]:
-    """One byte a coordinate, or four where a count needs more."""
-    wide = point.max(axis=1, initial=0) > 255
+    """Half a byte a coordinate, or one or four where a count needs more."""
+    most = point.max(axis=1, initial=0)
     narrow = point.astype(np.uint8)
-    return [point[k].astype(np.uint32).tobytes() if wide[k] else narrow[k].tobytes() for k in range(len(point))]
+    halves = narrow[:, ::2] | narrow[:, 1::2] << 4
+    return [(halves[k] if most[k] < 16 else narrow[k] if most[k] < 256 else point[k].astype(np.uint32)).tobytes() for k in range(len(point))]
 
 
 def points(column: pa.Array) -> np.ndarray:
     offsets, data = raw(column)
-    size = np.diff(offsets)
-    if (size == GROUPS).all():
-        return data[offsets[0] : offsets[-1]].reshape(-1, GROUPS).astype(np.int32)
-    return np.stack([data[a:b].astype(np.int32) if b - a == GROUPS else np.frombuffer(data[a:b].tobytes(), np.uint32).astype(np.int32) for a, b in zip(offsets, offsets[1:])])
+    size, out = np.diff(offsets), np.zeros((len(offsets) - 1, GROUPS), np.int32)
+    for width in np.unique(size):
+        rows = np.flatnonzero(size == width)
+        held = data[offsets[rows][:, None] + np.arange(width)]
+        if width == GROUPS // 2:
+            held = np.stack([held & 15, held >> 4], axis=2).reshape(len(rows), GROUPS)
+        out[rows] = held.view(np.uint32) if width > GROUPS else held
+    return out
 
 
 def described(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
@@ -147,19 +156,38 @@ class CountTree:
         return self.order[at]
 
 
-def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pivot, x, y). Within such a group the points of side 1 query the tree of side 0; with x = y, those
-    of the group query their own tree. Groups of FAN points or fewer are trees of one node, and many are done at a time."""
+def merged(label: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """``label`` (a row each, the smallest row it is joined with) after edges more; the lists of edges are emptied."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (left, right))
+    left.clear()
+    right.clear()
+    while True:
+        now = label.copy()
+        least = np.minimum(label[a], label[b])
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(now, at, least)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+def tree_groups(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (pivot, x, y). Within such a block the points of side 1 query the tree of side 0; with x = y, those
+    of the block query their own tree. Blocks of FAN points or fewer are trees of one node, and many are done at a time.
+    Classes that the bounds don't keep apart, directly or through others, are a group: a row for each, not for each pair.
+    Groups of the same classes have the same key. Side is 2 where x = y."""
 
     def solved(table: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
         x, y, cid, side, comp, n = (table.column(c).to_numpy() for c in ("x", "y", "cid", "side", "comp", "n"))
         ends = np.append(begins[1:], len(cid))
         point = points(table.column("point")) if len(cid) else np.zeros((0, GROUPS), np.int32)
-        group = np.repeat(np.arange(len(begins)), ends - begins)
+        block = np.repeat(np.arange(len(begins)), ends - begins)
+        label = np.arange(len(cid))
         left, right = [], []
-        few = (ends - begins <= FAN)[group]
+        few = (ends - begins <= FAN)[block]
         for d in range(1, FAN):
-            i = np.flatnonzero(few[:-d] & (group[d:] == group[:-d])) if len(group) > d else np.zeros(0, np.int64)
+            i = np.flatnonzero(few[:-d] & (block[d:] == block[:-d])) if len(block) > d else np.zeros(0, np.int64)
             if not len(i):
                 break
             j = i + d
@@ -170,6 +198,7 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.R
                 good = np.minimum(point[a], point[b]).sum(axis=1) >= ratio.least_overlap(n[a] + n[b])
                 left.append(a[good])
                 right.append(b[good])
+        label = merged(label, left, right)
         for lo, hi in zip(begins, ends):
             if hi - lo <= FAN:
                 continue
@@ -177,14 +206,20 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.R
             stored, asks = (all_, all_) if x[lo] == y[lo] else (all_[side[lo:hi] == 0], all_[side[lo:hi] == 1])
             if not len(stored) or not len(asks):
                 continue
-            tree = CountTree(point[stored], n[stored], comp[stored])
+            tree, held = CountTree(point[stored], n[stored], comp[stored]), 0
             for k in asks:
                 found = stored[tree.near(point[k], int(n[k]), int(comp[k]), ratio)]
                 left.append(np.full(len(found), k))
                 right.append(found)
-        left, right = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (left, right))
-        pair = np.unique(np.stack([np.minimum(cid[left], cid[right]), np.maximum(cid[left], cid[right])], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["a", "b"])
+                held += len(found)
+                if held > EDGES:
+                    label, held = merged(label, left, right), 0
+            label = merged(label, left, right)
+        rows = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1) if len(label) else label
+        side = np.where(x == y, 2, side)[rows]
+        key = np.zeros(len(label), dtype=np.uint64)
+        np.add.at(key, label[rows], mix((cid[rows] * 4 + side).astype(np.uint64) ^ np.uint64(0xBEEF)))
+        return pa.RecordBatch.from_arrays([pa.array(mix(key[label[rows]]).astype(np.int64)), pa.array(cid[rows], pa.int64()), pa.array(side, pa.int32()), pa.array(comp[rows], pa.int64())], ["key", "cid", "side", "comp"])
 
     rest: pa.Table | None = None
     for batch in batches:
@@ -200,6 +235,55 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.R
         yield solved(rest, np.zeros(1, np.int64))
 
 
+def group_links(cid: np.ndarray, side: np.ndarray, comp: np.ndarray, held: list[np.ndarray], ratio: Ratio) -> tuple[list[int], list[int]]:
+    """Links by which the components of a group's classes join: pairs that link, none between classes joined before."""
+    n = np.array([len(v) for v in held])
+    point = np.stack([np.bincount((mix(v ^ np.uint64(0xC0FFEE)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for v in held]).astype(np.int32)
+    tree, root = CountTree(point, n, comp), comp.copy()
+    left, right = [], []
+    for i in range(len(held)):
+        near = tree.near(point[i], int(n[i]), int(comp[i]), ratio)
+        near = near[(near > i) & ((side[near] != side[i]) | (side[near] == 2))]
+        near = near[root[near] != root[i]]
+        while len(near):
+            some, near = near[:ASKED], near[ASKED:]
+            values = np.concatenate([held[j] for j in some])
+            at = np.minimum(np.searchsorted(held[i], values), n[i] - 1)
+            same = np.add.reduceat((held[i][at] == values).astype(np.int64), np.cumsum(n[some]) - n[some])
+            for j in some[ratio.den * same >= ratio.num * (n[i] + n[some] - same)]:
+                if root[j] != root[i]:
+                    left.append(int(cid[i]))
+                    right.append(int(cid[j]))
+                    root[root == root[j]] = root[i]
+            near = near[root[near] != root[i]]
+    return left, right
+
+
+def settled(batches: Iterator[pa.RecordBatch], words: int, ratio: Ratio) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, with their texts. Gives each group's links, fewer than it has classes."""
+    now, names, held = None, [], []
+
+    def links() -> pa.RecordBatch:
+        left, right = group_links(*np.array(names, dtype=np.int64).reshape(-1, 3).T, held, ratio) if len(held) > 1 else ([], [])
+        names.clear()
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        key, cid, side, comp, sig = (batch.column(c).to_pylist() for c in ("key", "cid", "side", "comp", "sig"))
+        for lo, hi, value, cut in sets(batch, words):
+            marks = signatures(value, cut)
+            for k in range(lo, hi):
+                if marks[k - lo] != sig[k]:  # another row of the same doc_id
+                    continue
+                if key[k] != now:
+                    yield links()
+                    now = key[k]
+                names.append((cid[k], side[k], comp[k]))
+                held.append(value[cut[k - lo] : cut[k - lo + 1]].copy())
+    yield links()
+
+
 def checked(batches: Iterator[pa.RecordBatch], words: int, ratio: Ratio) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, b); the first of each a and salt has a's own text, b being null. Gives the linked pairs."""
     now, mine = None, None
@@ -223,19 +307,37 @@ def checked(batches: Iterator[pa.RecordBatch], words: int, ratio: Ratio) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+def with_texts(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """``named`` with the texts of its doc_ids. A bit map of 1 MB of hashed ids keeps most other texts out of the shuffle."""
+    named = materialise(named, "named")
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    bucket, place = F.shiftright(number, MARK_BUCKET), number.bitwiseAND((1 << MARK_BUCKET) - 1)
+    marks = named.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    texts = docs.select("doc_id", "text", bucket.alias("bucket"), place.cast("int").alias("place")).join(F.broadcast(marks), "bucket")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("place", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    texts = texts.where(F.expr("place is not null") & (F.call_function("shiftright", byte, F.col("place").bitwiseAND(7)).bitwiseAND(1) == 1))
+    return named.join(texts.select("doc_id", "text"), "doc_id")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their whole sets. A text goes to each a it is paired with, and
     a's own text once for SALT_ROWS of them."""
-    spark = docs.sparkSession
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("s"))
     others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("salt"), "b", F.col("b").alias("cid"))
     own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("cid"))
     named = others.unionByName(own).join(classes.select("cid", "sig", "doc_id"), "cid")
-    rows = named.join(docs.select("doc_id", "text"), "doc_id").select("a", "salt", "b", "sig", "text")
+    rows = with_texts(named, docs).select("a", "salt", "b", "sig", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(lambda batches: checked(batches, words, ratio), "a long, b long")
 
 
+def joined(groups: DataFrame, classes: DataFrame, docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
+    """Links (a, b) that join the components of each group's classes, by their whole sets. A text goes once to each group."""
+    rows = with_texts(groups.join(classes.select("cid", "sig", "doc_id"), "cid"), docs).select("key", "cid", "side", "comp", "sig", "text")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(lambda batches: settled(batches, words, ratio), "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document n_shingles, the size of its set of ``words``-word shingles, and component_id: the smallest doc_id
     that links lead to, two documents being linked when den * |intersection| >= num * |union|.
@@ -244,8 +346,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     a sketch of all documents' counts). Each class is checked with the smallest class of each shingle it shares, its pivot, which
     settles groups of copies with as many checks as members. The rest are classes that share a pivot but no component so
     far: their counts of shingles by hash group are points of an R-tree, a query skips what lies in its own component
-    and what the sum of coordinate minima rules out, and the pairs left are checked by their whole sets. Pivots with
-    many classes go to several tasks in blocks, and of the largest component only the others' pairs with it are looked at.
+    and what the sum of coordinate minima rules out. Classes that this leaves together are a group; their texts go to one
+    task, which checks pairs of different components by their whole sets and gives the links that join them, fewer than
+    there are classes. Pivots with many classes or large sets go to several tasks in blocks, and of the largest component
+    only the others' pairs with it are looked at.
     No link is lost: prefixes and minima are bounds, and nothing is capped.
 
     A text of fewer words has them all as its one shingle. Null, empty or blank text has none: n_shingles is 0, the
@@ -259,7 +363,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     full = table.where("n > 0 and doc_id is not null")
     classes = full.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "point", "prefix"), "doc_id").alias("r"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "r.*"), "classes")
-    entries = classes.select("cid", F.explode("prefix").alias("token"))
+    whole, table = table, materialise(table.select("doc_id", "n", "sig"), "ids")
+    discard(whole)
+    entries = classes.select("cid", F.explode("prefix").alias("token")).repartition("token")  # one shuffle for both uses
     shared = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("token", "pivot")
     members = materialise(entries.join(shared, "token").select("pivot", "cid").distinct(), "members")
     slim = classes.select("cid", "n", "point")
@@ -278,20 +384,22 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     first = materialise(components(links), "first")
 
     grouped = members.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("pivot", "cid", F.coalesce("root", "cid").alias("comp"))
-    counts = grouped.groupBy("pivot", "comp").agg(F.count("*").alias("k"))
-    tops = counts.groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("top_k"), F.sum("k").alias("all_k")).where("all_k > top_k")
-    parts = tops.select("pivot", "top", F.ceil(F.col("top_k") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all_k") - F.col("top_k")) / BLOCK).cast("int").alias("n_rest"))
+    counts = grouped.join(classes.select("cid", "n"), "cid").groupBy("pivot", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    tops = counts.groupBy("pivot").agg(F.max_by(F.struct("comp", "k", "n"), F.struct("k", "comp")).alias("t"), F.sum("k").alias("all_k"), F.sum("n").alias("all_n")).where("all_k > t.k")
+    blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    one = (F.col("all_k") <= BLOCK) & (F.col("all_n") <= BLOCK_SHINGLES)  # a block of all, without a top
+    parts = tops.select("pivot", F.when(~one, F.col("t.comp")).alias("top"), blocks(F.col("t.k"), F.col("t.n")).alias("n_top"), F.when(one, 1).otherwise(blocks(F.col("all_k") - F.col("t.k"), F.col("all_n") - F.col("t.n"))).alias("n_rest"))
     dealt = grouped.join(parts, "pivot").join(slim, "cid").withColumn("h", F.xxhash64("cid"))
     # x: a block of the rest; y: 0.. blocks of the rest, -1.. blocks of the largest component
     top = dealt.where("comp = top").withColumn("y", -1 - F.pmod("h", "n_top")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).withColumn("side", F.lit(0))
-    rest = dealt.where("comp <> top").withColumn("own", F.pmod("h", "n_rest").cast("int"))
-    with_top = rest.withColumn("y", F.explode(F.sequence(-F.col("n_top"), F.lit(-1)))).withColumn("x", F.col("own")).withColumn("side", F.lit(1))
+    rest = dealt.where("top is null or comp <> top").withColumn("own", F.pmod("h", "n_rest").cast("int"))
+    with_top = rest.where("top is not null").withColumn("y", F.explode(F.sequence(-F.col("n_top"), F.lit(-1)))).withColumn("x", F.col("own")).withColumn("side", F.lit(1))
     among = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).withColumn("x", F.least("own", "o")).withColumn("y", F.greatest("own", "o")).withColumn("side", (F.col("own") != F.col("x")).cast("int"))
     names = ["pivot", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "cid", "side", "comp", "n", "point"]
     queries = top.select(*names).unionByName(with_top.select(*names)).unionByName(among.select(*names))
     queries = queries.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
-    more = queries.mapInArrow(lambda batches: tree_pairs(batches, ratio), "a long, b long").distinct()
-    late = verified(materialise(more, "pairs"), classes, docs, words, ratio)
+    groups = queries.mapInArrow(lambda batches: tree_groups(batches, ratio), "key long, cid long, side int, comp long").distinct()
+    late = joined(materialise(groups, "groups"), classes, docs, words, ratio)
     roots = components(links.unionByName(late))
     named = classes.select("cid", "sig", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component"))

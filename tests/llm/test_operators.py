@@ -582,3 +582,47 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == set(range(60)) | {100}
+
+
+@pytest.mark.parametrize("block", [2048, 50])
+def test_jaccard_near_copies_make_few_rows(spark, monkeypatch, block):
+    """Copies that mostly don't link with their pivot: the rows grow with the classes (and blocks), not with their pairs."""
+    from tessera.llm import jaccard
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base, rows = [word() for _ in range(300)], []
+    for k in range(240):
+        text = list(base)
+        for at in rng.sample(range(5, 290, 5), 3 if k % 8 == 0 else 4):
+            text[at] = word()
+        rows.append((k * 7, " ".join(text)))
+    sizes, keep = {}, jaccard.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs, 4, 85, 100).collect()}
+    sets = {k: shingles(t, 4) for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low_, high = sorted((root[a], root[b]))
+                root = {k: low_ if v == high else v for k, v in root.items()}
+    assert got == root and len(set(root.values())) < len(root)
+    assert block < len(rows) or max(sizes.values()) <= 2 * sizes["members"], sizes
+
+
+def test_jaccard_texts_by_bit_map(spark):
+    from tessera.llm.jaccard import with_texts
+
+    docs = spark.createDataFrame([(k - 50, f"text {k}") for k in range(4000)] + [(None, "none"), (7, "again")], "doc_id long, text string")
+    named = docs.where("doc_id % 3 = 0 or doc_id = 7").select("doc_id", F.lit(1).alias("cid")).distinct()
+    want = sorted(map(tuple, docs.join(named, "doc_id").select("doc_id", "text").collect()))
+    assert sorted(map(tuple, with_texts(named, docs).select("doc_id", "text").collect())) == want and len(want) > 1300
