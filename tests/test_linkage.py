@@ -257,3 +257,37 @@ def test_cells_recall(spark):
     q, t = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec"))
     exact, near = ({(r.query_id, r.target_id) for r in f(q, t, 10).collect()} for f in (semantic.semantic_topk, semantic.cell_topk))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_rescue_scores_blocks_without_rows_of_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["", "acme corp", "acme corps", "a", "zeta société", "x" * 70, "x" * 69 + "y"]
+    entity = lambda i: (i, rng.choice(texts), rng.choice(texts))
+    sources, targets = [entity(f"S1-{k}") for k in range(40)], [entity(f"S2-{k}") for k in range(60)]
+    members = {("core", "k"): (sources, targets), ("token", "k"): (sources, targets), ("prefix", "p"): (sources[:9], targets[:50]), ("full", "none"): (sources[:2], []), ("number", "1"): (sources, targets + [entity("S3-1")])}
+    rows = {side: [(e[0], f, k, 1.0) for (f, k), pair in members.items() for e in pair[side]] for side in (0, 1)}
+    want = {}
+    for (family, key), (s, t) in members.items():
+        if len(t) > 60:
+            continue
+        for i, name, address in s:
+            n, a = ({j: S.indel(x, y[c]) for j, *y in t} for c, x in enumerate((name, address)))
+            n, a = ({j: round(100 * v) / 100 for j, v in d.items()} for d in (n, a))
+            kept = set()
+            for d, there in ((n, name), (a, address)):
+                kept |= set(sorted(d, key=lambda j: (-d[j], j))[:7]) if there else set()
+            scored = []
+            for j, x, y in t:
+                p, q = n[j] if name and x else 0.0, a[j] if address and y else 0.0
+                scored.append((-(0.55 * p + 0.45 * q if name and address else p if name else q), j))
+            for v, j in [x for x in sorted(scored) if x[1] in kept and -x[0] >= blocking.RESCUE_FLOOR][:7]:
+                old = want.get((i, j), (0, 0, 0, 0, 0, 0))
+                now = (1 - v, 0, -v if name else 0, -v if address else 0, -v if family in keys.STRUCTURAL else 0, -v if family in keys.EXACT else 0)
+                want[i, j] = tuple(max(o, x) if k != 1 else o + 1 for k, (o, x) in enumerate(zip(old, now)))
+    monkeypatch.setattr(blocking, "RESCUE_SOURCES", 16, raising=False)
+    ks, kt = (spark.createDataFrame(rows[k], "entity_id string, family string, key string, weight double") for k in (0, 1))
+    es, et = (spark.createDataFrame(x, "entity_id string, core string, address string") for x in (sources, targets + [("S3-1", "a", "a")]))
+    got = blocking.rescue(ks, kt, ks, es, et, top=7, block=60)
+    assert {(r[0], r[1]): tuple(r[2:]) for r in got.collect()} == want and len(want) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CoGroups" in plan
