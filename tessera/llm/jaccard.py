@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import discard, materialise, with_columns
+from .store import discard, free_name, materialise, with_columns
 from .textkit import chunks, mix, raw, shingle_sets, word_hashes
 
 GROUPS = 256  # of shingles; their counts are the coordinates of a document's point
+FINE = 4  # shingles a group, at most, of a document's fine point
 SKETCH_BITS = 20  # counters of the frequency sketch; its size is fixed
 PART_BITS = 14
 FAN = 32  # children of a tree's node
@@ -90,6 +91,36 @@ def packed(point: np.ndarray) -> list[bytes]:
     return [(halves[k] if most[k] < 16 else narrow[k] if most[k] < 256 else point[k].astype(np.uint32)).tobytes() for k in range(len(point))]
 
 
+def fine_groups(n: int) -> int:
+    """Of a set's fine point: a power of two, GROUPS at least, so that a fine point's sums are a coarser one."""
+    return max(GROUPS, -(-n // FINE) and 1 << (-(-n // FINE) - 1).bit_length())
+
+
+def fine_points(value: np.ndarray, cut: np.ndarray) -> list[bytes | None]:
+    """None for sets whose point is fine enough."""
+    out: list[bytes | None] = []
+    for k, n in enumerate(np.diff(cut).tolist()):
+        if (groups := fine_groups(n)) == GROUPS:
+            out.append(None)
+            continue
+        group = mix(value[cut[k] : cut[k + 1]] ^ np.uint64(0xC0FFEE)) & np.uint64(groups - 1)
+        out += packed(np.bincount(group.astype(np.int64), minlength=groups)[None])
+    return out
+
+
+def fine_point(held: bytes, n: int) -> np.ndarray:
+    groups, data = fine_groups(n), np.frombuffer(held, np.uint8)
+    if len(data) == groups // 2:
+        data = np.stack([data & 15, data >> 4], axis=1).ravel()
+    return data.view(np.uint32).astype(np.int32) if len(data) > groups else data.astype(np.int32)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles that two sets share at most, by their fine points."""
+    a, b = (x.reshape(-1, min(len(a), len(b))).sum(axis=0) for x in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 def points(column: pa.Array) -> np.ndarray:
     offsets, data = raw(column)
     size, out = np.diff(offsets), np.zeros((len(offsets) - 1, GROUPS), np.int32)
@@ -103,7 +134,7 @@ def points(column: pa.Array) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
-    """Per document: size and signature of its set, its point, and the prefix by which it is brought to others."""
+    """Per document: size and signature of its set, its point, a fine one of large sets, and the prefix by which it is brought to others."""
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))  # 1 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +151,11 @@ def described(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
                 ends = np.zeros(hi - lo + 1, dtype=np.int32)
                 np.cumsum(np.bincount(owner[first], minlength=hi - lo), out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(signatures(value, cut), pa.binary()), pa.array(packed(point), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen))],
-                    ["doc_id", "n", "sig", "point", "prefix"],
+                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(signatures(value, cut), pa.binary()), pa.array(packed(point), pa.binary()), pa.array(fine_points(value, cut), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen))],
+                    ["doc_id", "n", "sig", "point", "fine", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, point binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, point binary, fine binary, prefix array<long>")
 
 
 class CountTree:
@@ -172,6 +203,14 @@ def merged(label: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -
         label = now
 
 
+def group_rows(label: np.ndarray, cid: np.ndarray, side: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
+    """The rows whose label others have too. Groups of the same classes and sides have the same key."""
+    rows = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1) if len(label) else label
+    key = np.zeros(len(label), dtype=np.uint64)
+    np.add.at(key, label[rows], mix((cid[rows] * 4 + side[rows]).astype(np.uint64) ^ np.uint64(0xBEEF)))
+    return pa.RecordBatch.from_arrays([pa.array(mix(key[label[rows]]).astype(np.int64)), pa.array(cid[rows], pa.int64()), pa.array(side[rows], pa.int32()), pa.array(comp[rows], pa.int64())], ["key", "cid", "side", "comp"])
+
+
 def tree_groups(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (pivot, x, y). Within such a block the points of side 1 query the tree of side 0; with x = y, those
     of the block query their own tree. Blocks of FAN points or fewer are trees of one node, and many are done at a time.
@@ -215,11 +254,7 @@ def tree_groups(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.
                 if held > EDGES:
                     label, held = merged(label, left, right), 0
             label = merged(label, left, right)
-        rows = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1) if len(label) else label
-        side = np.where(x == y, 2, side)[rows]
-        key = np.zeros(len(label), dtype=np.uint64)
-        np.add.at(key, label[rows], mix((cid[rows] * 4 + side).astype(np.uint64) ^ np.uint64(0xBEEF)))
-        return pa.RecordBatch.from_arrays([pa.array(mix(key[label[rows]]).astype(np.int64)), pa.array(cid[rows], pa.int64()), pa.array(side, pa.int32()), pa.array(comp[rows], pa.int64())], ["key", "cid", "side", "comp"])
+        return group_rows(label, cid, np.where(x == y, 2, side), comp)
 
     rest: pa.Table | None = None
     for batch in batches:
@@ -235,6 +270,39 @@ def tree_groups(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.
         yield solved(rest, np.zeros(1, np.int64))
 
 
+def fine_label(n: np.ndarray, side: np.ndarray, comp: np.ndarray, fine: list[np.ndarray], ratio: Ratio) -> np.ndarray:
+    """For each class of a group the first of those that fine points don't keep apart from it, directly or through others."""
+    point = np.stack([v.reshape(-1, GROUPS).sum(axis=0) for v in fine])
+    tree, label = CountTree(point, n, comp), np.arange(len(n))
+    for i in range(len(n)):
+        near = tree.near(point[i], int(n[i]), int(comp[i]), ratio)
+        for j in near[(near > i) & ((side[near] != side[i]) | (side[near] == 2))]:
+            if label[j] != label[i] and most_shared(fine[i], fine[j]) >= ratio.least_overlap(n[i] + n[j]):
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return label
+
+
+def refined(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, with their classes' fine points. Gives the parts of each group that these leave together."""
+    now, names, fine = None, [], []
+
+    def parts() -> pa.RecordBatch:
+        cid, side, comp, n = np.array(names, dtype=np.int64).reshape(-1, 4).T
+        label = fine_label(n, side, comp, fine, ratio) if len(fine) else np.zeros(0, np.int64)
+        names.clear()
+        fine.clear()
+        return group_rows(label, cid, side, comp)
+
+    for batch in batches:
+        for key, cid, side, comp, n, held in zip(*(batch.column(c).to_pylist() for c in ("key", "cid", "side", "comp", "n", "fine"))):
+            if key != now:
+                yield parts()
+                now = key
+            names.append((cid, side, comp, n))
+            fine.append(fine_point(held, n))
+    yield parts()
+
+
 def group_links(cid: np.ndarray, side: np.ndarray, comp: np.ndarray, held: list[np.ndarray], ratio: Ratio) -> tuple[list[int], list[int]]:
     """Links by which the components of a group's classes join: pairs that link, none between classes joined before."""
     n = np.array([len(v) for v in held])
@@ -307,16 +375,28 @@ def checked(batches: Iterator[pa.RecordBatch], words: int, ratio: Ratio) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def with_texts(named: DataFrame, docs: DataFrame) -> DataFrame:
-    """``named`` with the texts of its doc_ids. A bit map of 1 MB of hashed ids keeps most other texts out of the shuffle."""
-    named = materialise(named, "named")
+def marked(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: false where ``ids`` surely doesn't have the doc_id, by a bit map of 1 MB of hashed ids."""
     number = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
     bucket, place = F.shiftright(number, MARK_BUCKET), number.bitwiseAND((1 << MARK_BUCKET) - 1)
-    marks = named.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
-    texts = docs.select("doc_id", "text", bucket.alias("bucket"), place.cast("int").alias("place")).join(F.broadcast(marks), "bucket")
+    marks = ids.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    rows = docs.select(F.struct("*").alias("row"), bucket.alias("bucket"), place.cast("int").alias("place")).join(F.broadcast(marks), "bucket", "left")
     byte = F.conv(F.hex(F.substring("bits", F.shiftright("place", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    texts = texts.where(F.expr("place is not null") & (F.call_function("shiftright", byte, F.col("place").bitwiseAND(7)).bitwiseAND(1) == 1))
-    return named.join(texts.select("doc_id", "text"), "doc_id")
+    mark = F.call_function("shiftright", byte, F.col("place").bitwiseAND(7)).bitwiseAND(1) == 1
+    return rows.select("row.*", F.coalesce(mark, F.lit(False)).alias(name))
+
+
+def with_texts(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """``named`` with the texts of its doc_ids; most other texts stay out of the shuffle."""
+    named = materialise(named, "named")
+    return named.join(marked(docs.select("doc_id", "text"), named, "wanted").where("wanted").select("doc_id", "text"), "doc_id")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't among those of ``ids``. Most texts aren't shuffled."""
+    ids, name = materialise(ids.select("doc_id").distinct(), "without"), free_name(docs, "asked")
+    rows = marked(docs, ids, name)
+    return rows.where(~F.col(name)).unionByName(rows.where(F.col(name)).join(ids, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
@@ -346,8 +426,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     a sketch of all documents' counts). Each class is checked with the smallest class of each shingle it shares, its pivot, which
     settles groups of copies with as many checks as members. The rest are classes that share a pivot but no component so
     far: their counts of shingles by hash group are points of an R-tree, a query skips what lies in its own component
-    and what the sum of coordinate minima rules out. Classes that this leaves together are a group; their texts go to one
-    task, which checks pairs of different components by their whole sets and gives the links that join them, fewer than
+    and what the sum of coordinate minima rules out. Classes that this leaves together are a group; points of more
+    coordinates, as many as large sets need, part it again, and the texts of what stays together go to one task, which checks pairs of different components by their whole sets and gives the links that join them, fewer than
     there are classes. Pivots with many classes or large sets go to several tasks in blocks, and of the largest component
     only the others' pairs with it are looked at.
     No link is lost: prefixes and minima are bounds, and nothing is capped.
@@ -361,7 +441,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     docs = with_columns(docs, doc_id="long", text="string")
     table = materialise(described(docs, words, ratio), "sets")
     full = table.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "point", "prefix"), "doc_id").alias("r"))
+    classes = full.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "point", "fine", "prefix"), "doc_id").alias("r"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "r.*"), "classes")
     whole, table = table, materialise(table.select("doc_id", "n", "sig"), "ids")
     discard(whole)
@@ -379,8 +459,17 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
             total = batch.column("n").to_numpy() + batch.column("p_n").to_numpy()
             yield batch.select(["pivot", "cid"]).filter(pa.array(most >= ratio.least_overlap(total))).rename_columns(["a", "b"])
 
-    stars = stars.mapInArrow(bounded, "a long, b long")
-    links = materialise(verified(materialise(stars, "stars"), classes, docs, words, ratio), "links")
+    def fine_bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a_n, a_fine, b_n, b_fine = (batch.column(c).to_pylist() for c in ("a_n", "a_fine", "b_n", "b_fine"))
+            most = np.array([most_shared(fine_point(a, m), fine_point(b, n)) for a, m, b, n in zip(a_fine, a_n, b_fine, b_n)], dtype=np.int64)
+            total = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(most >= ratio.least_overlap(total)))
+
+    fine = classes.select("cid", "n", F.coalesce("fine", "point").alias("fine"))
+    stars = materialise(stars.mapInArrow(bounded, "a long, b long"), "stars")
+    stars = stars.join(fine.toDF("a", "a_n", "a_fine"), "a").join(fine.toDF("b", "b_n", "b_fine"), "b").mapInArrow(fine_bounded, "a long, b long")
+    links = materialise(verified(materialise(stars, "pairs"), classes, docs, words, ratio), "links")
     first = materialise(components(links), "first")
 
     grouped = members.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("pivot", "cid", F.coalesce("root", "cid").alias("comp"))
@@ -399,7 +488,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     queries = top.select(*names).unionByName(with_top.select(*names)).unionByName(among.select(*names))
     queries = queries.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
     groups = queries.mapInArrow(lambda batches: tree_groups(batches, ratio), "key long, cid long, side int, comp long").distinct()
-    late = joined(materialise(groups, "groups"), classes, docs, words, ratio)
+    groups = materialise(groups, "groups").join(fine, "cid").repartition("key").sortWithinPartitions("key")
+    groups = groups.mapInArrow(lambda batches: refined(batches, ratio), "key long, cid long, side int, comp long").distinct()
+    late = joined(materialise(groups, "parts"), classes, docs, words, ratio)
     roots = components(links.unionByName(late))
     named = classes.select("cid", "sig", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component"))

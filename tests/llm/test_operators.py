@@ -626,3 +626,89 @@ def test_jaccard_texts_by_bit_map(spark):
     named = docs.where("doc_id % 3 = 0 or doc_id = 7").select("doc_id", F.lit(1).alias("cid")).distinct()
     want = sorted(map(tuple, docs.join(named, "doc_id").select("doc_id", "text").collect()))
     assert sorted(map(tuple, with_texts(named, docs).select("doc_id", "text").collect())) == want and len(want) > 1300
+
+
+def test_jaccard_long_texts_stay_apart_by_fine_points(spark, monkeypatch):
+    """Long unrelated texts that share a passage: counts in 256 groups can't keep them apart, and their texts went to one task for each shingle."""
+    import numpy as np
+
+    from tessera.llm import jaccard
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, texts = [word() for _ in range(300)], []
+    for _ in range(14):
+        at, own = rng.randrange(8000), [word() for _ in range(rng.randrange(8500, 9500))]
+        texts.append(own[:at] + passage + own[at:])
+    for source, edits in ((0, 100), (1, 150), (2, 400)):
+        copy = list(texts[source])
+        for at in rng.sample(range(len(copy)), edits):
+            copy[at] = word()
+        texts.append(copy)
+    rows = [(k * 3, " ".join(t)) for k, t in enumerate(texts)] + [(900, "short text of its own")]
+    sizes, keep = {}, jaccard.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    monkeypatch.setattr(jaccard, "sketch", lambda docs, words: np.zeros(1 << jaccard.SKETCH_BITS, np.uint8))  # else all shared shingles come last
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs, 5, 80, 100).collect()}
+    sets = {k: shingles(t, 5) for k, t in rows}
+    want = {k: min(o for o in sets if 100 * len(sets[k] & sets[o]) >= 80 * len(sets[k] | sets[o])) for k in sets}
+    assert got == want and want[14 * 3] == 0 and want[15 * 3] == 3 and want[16 * 3] == 48
+    assert sizes["members"] > 20 and sizes["named"] <= 9, sizes
+
+
+def test_fine_points_bound_the_intersection():
+    import numpy as np
+
+    from tessera.llm import jaccard
+
+    rng = np.random.default_rng(12)
+    pool = np.unique(rng.integers(0, 2**64, 600_000, dtype=np.uint64))
+    crowded = pool[jaccard.mix(pool ^ np.uint64(0xC0FFEE)) % np.uint64(256) < np.uint64(3)]
+    for values in (pool, crowded):
+        for n in (1, 1024, 1025, 2048, 2049, 3000, 4000):
+            for m in (n, max(1, n * 4 // 5), n * 5 // 4):
+                a, b = (rng.choice(values[:6000], k, replace=False) for k in (n, m))
+                (x, y), points = (jaccard.fine_points(v, np.array([0, len(v)])) for v in (a, b)), []
+                for v, held in ((a, x[0]), (b, y[0])):
+                    assert (held is None) == (len(v) <= 1024)
+                    coarse = np.bincount((jaccard.mix(v ^ np.uint64(0xC0FFEE)) % np.uint64(256)).astype(np.int64), minlength=256)
+                    points.append(jaccard.fine_point(held or jaccard.packed(coarse[None])[0], len(v)))
+                    assert (points[-1].reshape(-1, 256).sum(axis=0) == coarse).all()
+                assert len(np.intersect1d(a, b)) <= jaccard.most_shared(*points) <= min(n, m)
+
+
+def test_near_duplicates_go_without_shuffled_texts(spark, tmp_path):
+    import corpus_pipeline
+    from tessera.llm.jaccard import without
+
+    rows = [(k - 50, f"text {k}", "en") for k in range(3000)] + [(None, "none", "en"), (7, "again", "en"), (8, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, asked string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for ids in (docs.where("doc_id % 3 = 0 or doc_id = 7"), docs.where("false"), docs.where("doc_id is null or doc_id = -50")):
+        gone = {r.doc_id for r in ids.collect()} - {None}
+        got = without(docs, ids)
+        assert got.columns == docs.columns
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in gone)
+
+    def shuffled() -> int:
+        tracker = spark.sparkContext._jsc.sc().statusStore()
+        stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(400))
+    rows = [(k, text()) for k in range(600)]
+    rows += [(600 + k, rows[k][1] + " end") for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/texts")
+    docs, size = spark.read.parquet(f"{tmp_path}/texts"), sum(len(t) for _, t in rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    before = shuffled()
+    assert {r.doc_id for r in kept.collect()} == set(range(600))
+    assert shuffled() - before < size / 20
