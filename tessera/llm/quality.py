@@ -14,6 +14,7 @@ from .store import free_name, with_columns
 from .textkit import LOWER, chunks, hash_spans, ngrams, raw, series, spans
 
 BITS = 20
+CHUNK = 1 << 19  # bytes of text whose n-grams a worker holds at a time
 #: Labelled rows that training reads at most, those first by a hash of their ids: its one sequential task has this bound.
 MOST_ROWS = 6_000
 WORD_RUNS = (2, 3)  # words of a hashed n-gram beside single words
@@ -66,7 +67,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse vectors of labelled rows: slots and values, a value being the n-gram's count over the words."""
     for batch in batches:
         offsets, data = raw(batch.column("text"))
-        for lo, hi, off, part in chunks(offsets, data):
+        for lo, hi, off, part in chunks(offsets, data, CHUNK):
             slot, row, count = features(off, part)
             key, times = np.unique(row << BITS | slot, return_counts=True)
             owner = key >> BITS
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 def scorer(weights: np.ndarray, bias: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     def score(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
-        for lo, hi, off, part in chunks(offsets, data):
+        for lo, hi, off, part in chunks(offsets, data, CHUNK):
             slot, row, count = features(off, part)
             out[lo:hi] = SCALE * np.bincount(row, weights[slot], minlength=hi - lo) / np.maximum(count, 1)
         return 1 / (1 + np.exp(-(out + bias)))

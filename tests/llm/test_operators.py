@@ -712,3 +712,24 @@ def test_near_duplicates_go_without_shuffled_texts(spark, tmp_path):
     before = shuffled()
     assert {r.doc_id for r in kept.collect()} == set(range(600))
     assert shuffled() - before < size / 20
+
+
+def test_quality_holds_few_ngrams_at_a_time(monkeypatch):
+    """A worker beside a full heap has little memory: 2 MB of text at a time made 100 MB more of n-grams than 512 KB."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import quality
+    from tessera.llm.textkit import raw
+
+    rng, seen, features = random.Random(14), [], quality.features
+    monkeypatch.setattr(quality, "features", lambda off, part: (seen.append(len(part)), features(off, part))[1])
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice((5, 400, 3000)))) for _ in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302)), pa.array([k % 2 for k in range(302)], pa.int32()), pa.array(texts)], ["turn", "label", "text"])
+    score = quality.scorer(np.random.default_rng(15).normal(size=1 << quality.BITS).astype(np.float32), 0.1)
+    scores = score(*raw(batch.column("text")))
+    rows = [r for b in quality.vectors(iter([batch])) for r in b.to_pylist()]
+    assert max(seen) <= 600_000 < sum(seen)
+    monkeypatch.setattr(quality, "chunks", lambda off, data, *_: [(0, len(off) - 1, off, data)])
+    assert (scores == score(*raw(batch.column("text")))).all()
+    assert rows == [r for b in quality.vectors(iter([batch])) for r in b.to_pylist()]
