@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import with_columns
-from .textkit import LOWER, chunks, hash_spans, ngrams, raw, spans
+from .textkit import LOWER, chunks, give_back, hash_spans, ngrams, pieces, raw, spans
 
 LEAST_WORDS = 3  # an item of fewer words must be there whole, and is no passage that a document goes for
 LEAST_SCORE = 0.5  # of the score that the whole item aligned with itself has
@@ -240,9 +240,11 @@ def seeded(docs: DataFrame, items: Items, least: float) -> Items:
         finder = Finder(shared.value)
         total = np.zeros(len(finder.keys), dtype=np.int64)
         for batch in batches:
-            for _lo, _hi, off, part in chunks(*folded(batch.column("text"))):
-                for gram, _ in grams(*plain_words(off, part)):
-                    total += np.bincount(finder.hits(gram)[1].astype(np.int64), minlength=len(total))
+            for piece in pieces(batch):
+                for _lo, _hi, off, part in chunks(*folded(piece.column("text"))):
+                    for gram, _ in grams(*plain_words(off, part)):
+                        total += np.bincount(finder.hits(gram)[1].astype(np.int64), minlength=len(total))
+            give_back()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
@@ -252,6 +254,30 @@ def seeded(docs: DataFrame, items: Items, least: float) -> Items:
     return items.seeded(total, least)
 
 
+def found(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows of ``contamination``."""
+    finder, vocabulary = Finder(np.unique(items.gram)), Finder(items.vocabulary)
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    for batch in batches:
+        for piece in pieces(batch):
+            ids = piece.column("doc_id")
+            rows = [(ids[r].as_py(), items.ids[k], *rest) for r, k, *rest in matches(*folded(piece.column("text")), items, finder, vocabulary, least)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["doc_id", "item_id", "score", "first_word", "end_word", "n_same"])
+        give_back()
+
+
+def clean(batches: Iterator[pa.RecordBatch], column: int, items: Items, least: float) -> Iterator[pa.RecordBatch]:
+    """The rows without a match, a piece of text at a time: neither lower-cased nor kept texts of a whole batch are there at once."""
+    finder, vocabulary = Finder(np.unique(items.gram)), Finder(items.vocabulary)
+    for batch in batches:
+        for piece in pieces(batch, column):
+            keep = np.ones(piece.num_rows, dtype=bool)
+            keep[[m[0] for m in matches(*folded(piece.column(column)), items, finder, vocabulary, least)]] = False
+            yield piece.filter(pa.array(keep))
+        give_back()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """One row for each document and item whose passage is in it, edited perhaps: the best alignment and where it is.
 
@@ -269,17 +295,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
     for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(seeded(docs, items, least))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            finder, vocabulary = Finder(np.unique(items.gram)), Finder(items.vocabulary)
-            for batch in batches:
-                ids = batch.column("doc_id")
-                rows = [(ids[r].as_py(), items.ids[k], *rest) for r, k, *rest in matches(*folded(batch.column("text")), items, finder, vocabulary, least)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "item_id", "score", "first_word", "end_word", "n_same"])
-
-        found = docs.mapInArrow(run, types)
-        out = found if out is None else out.unionByName(found)
+        rows = docs.mapInArrow(lambda b, shared=shared: found(b, shared.value, least), types)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -291,14 +308,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_S
     names, texts = docs.columns, docs.select(F.col("text").cast("string").alias("text"))
     for items in blocks(benchmark, LEAST_WORDS):
         shared = docs.sparkSession.sparkContext.broadcast(seeded(texts, items, least))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            finder, vocabulary = Finder(np.unique(items.gram)), Finder(items.vocabulary)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[m[0] for m in matches(*folded(batch.column(names.index("text"))), items, finder, vocabulary, least)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(lambda b, shared=shared: clean(b, names.index("text"), shared.value, least), T.StructType(docs.schema.fields))
     return docs

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import discard, free_name, materialise, with_columns
-from .textkit import chunks, mix, raw, shingle_sets, word_hashes
+from .textkit import chunks, give_back, mix, raw, shingle_sets, word_hashes
 
 GROUPS = 256  # of shingles; their counts are the coordinates of a document's point
 FINE = 4  # shingles a group, at most, of a document's fine point
@@ -46,6 +46,7 @@ def sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarr
     for lo, hi, off, part in chunks(*raw(batch.column("text"))):
         word, row = word_hashes(off, part)
         yield lo, hi, *shingle_sets(word, row, hi - lo, words)
+    give_back()
 
 
 def signatures(value: np.ndarray, cut: np.ndarray) -> list[bytes]:

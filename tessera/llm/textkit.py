@@ -5,6 +5,7 @@ Words are runs of bytes other than space and \\x09-\\x0D; A-Z are lower-cased. A
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,23 @@ def chunks(offsets: np.ndarray, data: np.ndarray, size: int = CHUNK) -> Iterator
         lo = hi
 
 
+def pieces(batch: pa.RecordBatch, column: str | int = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows of about ``size`` bytes of text, in order: what is made of a slice is small, however long a batch's texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; a worker that waits for its next task would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def spans(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the row of each."""
     inside = ~space[data]

@@ -733,3 +733,29 @@ def test_quality_holds_few_ngrams_at_a_time(monkeypatch):
     monkeypatch.setattr(quality, "chunks", lambda off, data, *_: [(0, len(off) - 1, off, data)])
     assert (scores == score(*raw(batch.column("text")))).all()
     assert rows == [r for b in quality.vectors(iter([batch])) for r in b.to_pylist()]
+
+
+def test_decontamination_holds_little_text_at_a_time(monkeypatch):
+    """A worker beside a full heap has little memory: whole batches in lower case made 130 MB more than pieces of 2 MB."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import decontamination as D
+    from tessera.llm.textkit import CHUNK
+
+    rng, seen, back, folded = random.Random(16), [], [], D.folded
+    item = " ".join(f"q{k}" for k in range(30))
+    texts = [" ".join(f"W{rng.randrange(5000)}" for _ in range(rng.choice((5, 400, 9000)))) for _ in range(400)] + [None, ""]
+    for k in (0, 7, 399):
+        texts[k] += " " + item
+    items = D.Items([(1, item)])
+    items.seeded(np.zeros(len(items.keys), dtype=np.int64), 0.5)
+    monkeypatch.setattr(D, "folded", lambda column: (seen.append(sum(len(x or "") for x in column.to_pylist())), folded(column))[1])
+    monkeypatch.setattr(D, "give_back", lambda: back.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(402)), pa.array(texts)], ["doc_id", "text"])
+    kept = [b.to_pydict() for b in D.clean(iter([batch.slice(0, 0), batch, batch.slice(5, 300)]), 1, items, 0.5)]
+    want = [k for k in range(402) if k not in (0, 7, 399)]
+    assert [i for b in kept for i in b["doc_id"]] == want + [k for k in range(5, 305) if k != 7]
+    assert [t for b in kept for t in b["text"]][: len(want)] == [texts[k] for k in want]
+    assert [r["doc_id"] for b in D.found(iter([batch]), items, 0.5) for r in b.to_pylist()] == [0, 7, 399]
+    assert max(seen) <= CHUNK < sum(seen) and len(back) == 4
