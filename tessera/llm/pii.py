@@ -230,7 +230,7 @@ def learnt_spans(found: DataFrame) -> DataFrame:
         if turn == ROUNDS - 1:
             break
         best = edges.where("seed >= 0").join(good, by).groupBy("o", "v").agg(F.max("c").alias("c"))
-        weights = materialise(edges.join(best, ["o", "v"], "left").withColumn("w", F.when(F.col("seed") < 0, 0.0).otherwise(F.greatest("seed", F.coalesce("c", F.lit(0.0))))).drop("c"), "weights")
+        weights = edges.join(best, ["o", "v"], "left").withColumn("w", F.when(F.col("seed") < 0, 0.0).otherwise(F.greatest("seed", F.coalesce("c", F.lit(0.0))))).drop("c")
     new = uses.where((F.col("seed") > -1) & ((F.col("seed") < 1) | (F.col("o") == SECRET))).join(good, by)
     rank = F.struct("c", (F.col("e") - F.col("s")).alias("n"), (-F.col("o")).alias("o"), "s", "e")
     tops = new.groupBy("key", "run").agg(F.max(F.when(F.col("pre"), rank)).alias("a"), F.max(F.when(~F.col("pre"), rank)).alias("b"))

@@ -759,3 +759,15 @@ def test_decontamination_holds_little_text_at_a_time(monkeypatch):
     assert [t for b in kept for t in b["text"]][: len(want)] == [texts[k] for k in want]
     assert [r["doc_id"] for b in D.found(iter([batch]), items, 0.5) for r in b.to_pylist()] == [0, 7, 399]
     assert max(seen) <= CHUNK < sum(seen) and len(back) == 4
+
+
+def test_personal_data_writes_few_tables(spark, monkeypatch):
+    """Each file of a table on a local disk costs an executor a process or two; the rounds write none."""
+    from tessera.llm import pii
+
+    names, materialise = [], pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df, name: (names.append(name), materialise(df, name))[1])
+    rows = [(k, f"token: {k}f3A{k}bC9dE7gH5jK{k}lM1nP tail") for k in range(6)] + [(6, "token: abc123def456ghi"), (7, "write to a@b.org")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[6].secrets == "7:22" and got[7].spans == "email:9:16" and all(got[k].secrets for k in range(6))
+    assert names == ["spans", "contexts"]
